@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, packing, tokens, topk, urls
+from . import chat, neardup, packing, tokens, topk, urls
 from .common import table
 
 
@@ -27,6 +27,11 @@ def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10, scale=1024)
 
 
+def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents under four-word shingles at 0.8."""
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), n=4, percent=80)
+
+
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and one of control strings, formatted and read back."""
     said = "</s>[INST] ok [/INST]"
@@ -72,6 +77,28 @@ WITH v AS (
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
 
+#: Components by a recursive closure over all links, which are counted by shared shingle.
+OP5_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s
+  FROM w
+), e AS (SELECT doc_id, unnest(s) AS g, len(s) AS n FROM s
+), p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS met, any_value(a.n) AS na, any_value(b.n) AS nb
+  FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2
+), l AS (SELECT a, b FROM p WHERE 100 * met >= 80 * (na + nb - met)
+), u AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l
+), r AS (SELECT a AS doc_id, b AS reach FROM u UNION SELECT r.doc_id, u.b FROM r JOIN u ON r.reach = u.a
+), c AS (SELECT doc_id, min(reach) AS least FROM r GROUP BY 1)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, least(s.doc_id, coalesce(c.least, s.doc_id)) AS component_id,
+  s.doc_id <= coalesce(c.least, s.doc_id) AS kept
+FROM s LEFT JOIN c USING (doc_id)
+"""
+
 #: Formats nothing: what is read back must be what went in.
 OP6_SQL = """
 WITH t AS (
@@ -101,6 +128,7 @@ def queries() -> dict:
     return {
         "op1_packing": op1_packing,
         "op3_topk": op3_topk,
+        "op5_neardup": op5_neardup,
         "op6_chat": op6_chat,
         "op7_urls": op7_urls,
         "op8_tokens": op8_tokens,
@@ -108,4 +136,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_topk": OP3_SQL, "op6_chat": OP6_SQL}
+    return {"op3_topk": OP3_SQL, "op5_neardup": OP5_SQL, "op6_chat": OP6_SQL}
