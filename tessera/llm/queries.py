@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, neardup, packing, tokens, topk, urls
+from . import chat, neardup, packing, pii, quality, tokens, topk, urls
 from .common import table
 
 
@@ -22,6 +22,15 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+#: Stands for a deployment's secret; whoever holds it can make the same surrogates.
+PII_KEY = "tessera-demo-key"
+
+
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with surrogates in place of personal data."""
+    return pii.replace_pii(table(spark, sf_dir, "documents").select("doc_id", "text"), key=PII_KEY)
+
+
 def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best of every hundredth vector among all others."""
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10, scale=1024)
@@ -61,6 +70,23 @@ def op8_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
+def quality_model(spark: SparkSession, sf_dir: str) -> quality.Model:
+    """Learnt from a bounded sample of the labels whose documents aren't held out."""
+    labels = table(spark, sf_dir, "labels").where(~held_out("doc_id"))
+    return quality.fit(table(spark, sf_dir, "documents"), labels, sample=4000)
+
+
+def held_out(doc_id: str):
+    """Whether a document is held out: crc32 of its id as text, modulo 4, is 2."""
+    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents."""
+    scored = quality.score(table(spark, sf_dir, "documents"), quality_model(spark, sf_dir))
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 OP3_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v
@@ -127,11 +153,13 @@ FROM e GROUP BY conv_id
 def queries() -> dict:
     return {
         "op1_packing": op1_packing,
+        "op2_pii": op2_pii,
         "op3_topk": op3_topk,
         "op5_neardup": op5_neardup,
         "op6_chat": op6_chat,
         "op7_urls": op7_urls,
         "op8_tokens": op8_tokens,
+        "op10_quality": op10_quality,
     }
 
 
