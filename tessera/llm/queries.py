@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, neardup, packing, pii, quality, tokens, topk, urls
+from . import chat, decontam, neardup, packing, pii, quality, tokens, topk, urls
 from .common import table
 
 
@@ -36,6 +36,11 @@ def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10, scale=1024)
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark items that each document holds."""
+    return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents under four-word shingles at 0.8."""
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), n=4, percent=80)
@@ -155,6 +160,7 @@ def queries() -> dict:
         "op1_packing": op1_packing,
         "op2_pii": op2_pii,
         "op3_topk": op3_topk,
+        "op4_decontamination": op4_decontamination,
         "op5_neardup": op5_neardup,
         "op6_chat": op6_chat,
         "op7_urls": op7_urls,
