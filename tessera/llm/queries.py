@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, neardup, packing, pii, quality, tokens, topk, urls
+from . import chat, decontam, neardup, packing, pii, quality, suffix, tokens, topk, urls
 from .common import table
 
 
@@ -75,6 +75,11 @@ def op8_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
+def op9_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The passages of 50 words or more that documents share."""
+    return suffix.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def quality_model(spark: SparkSession, sf_dir: str) -> quality.Model:
     """Learnt from a bounded sample of the labels whose documents aren't held out."""
     labels = table(spark, sf_dir, "labels").where(~held_out("doc_id"))
@@ -165,6 +170,7 @@ def queries() -> dict:
         "op6_chat": op6_chat,
         "op7_urls": op7_urls,
         "op8_tokens": op8_tokens,
+        "op9_suffix": op9_suffix,
         "op10_quality": op10_quality,
     }
 
