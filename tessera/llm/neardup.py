@@ -11,11 +11,12 @@ sets of similarity 0.8 share about 0.8 K of them. Collisions are counted by pref
 Candidates of T collisions or more are confirmed on the full sets. Documents with equal sets are one class throughout.
 
 No list is expanded into all its pairs at first: a round links each member with one pivot per list, the next with a
-few pivots of those lists that still hold several components. What two rounds leave is compared in blocks of bounded
-size, whole, so every pair of T collisions is either confirmed or inside one component.
+few pivots of those lists that still hold several components. What two rounds leave is compared whole, in blocks of
+bounded size: one pass names the members that have candidates there, the next holds their full sets and returns links
+alone. So every pair of T collisions is confirmed, refuted or inside one component.
 
 Bounds: a pair at similarity 0.8 reaches T = 16 of K = 32 collisions, and 0.62 of the 96 finer bytes, but for a few in a
-hundred thousand. Memory per task is one Arrow batch or two blocks of BLOCK signatures.
+hundred thousand. Memory per task is one Arrow batch or two blocks of BLOCK sets.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ K, T, FINE = 32, 16, 96
 #: Least share of equal bytes among the FINE.
 FINE_SHARE = 0.62
 #: Signatures of a block in the last round, and pivot classes of the second.
-BLOCK, PIVOTS = 512, 4
+BLOCK, PIVOTS = 256, 4
 
 
 def _signed(batches, n: int):
@@ -60,41 +61,90 @@ def _bytes(column) -> np.ndarray:
     return np.frombuffer(b"".join(column), dtype=np.uint8).reshape(len(column), -1)
 
 
-def _blocks_alike(frames, percent: int):
-    """Candidate pairs of each (token, block pair) that comes in sorted, across its two sides and components."""
-    key, rows = None, []
-
-    def pairs():
-        f = pd.concat(rows) if len(rows) > 1 else rows[0]
-        left, right = f[f["side"] != 2], f[f["side"] != 1]
-        if not len(left) or not len(right):
-            return None
-        ends = []
-        for side in (left, right):
-            ends.append((side["node"].to_numpy(), side["label"].to_numpy(), np.stack(side["sig"].to_numpy()), _bytes(side["fine"]), side["n"].to_numpy()))
-        (a, la, sa, fa, na), (b, lb, sb, fb, nb) = ends
-        same = np.zeros((len(a), len(b)), dtype=np.int16)
-        for j in range(K):
-            same += sa[:, j][:, None] == sb[:, j][None, :]
-        fits = (same >= T) & (la[:, None] != lb[None, :])
-        fits &= 100 * np.minimum(na[:, None], nb[None, :]) >= percent * np.maximum(na[:, None], nb[None, :])
-        i, j = np.nonzero(fits)
-        if len(i):
-            good = np.concatenate([(fa[i[x : x + 65536]] == fb[j[x : x + 65536]]).mean(axis=1) >= FINE_SHARE for x in range(0, len(i), 65536)])
-            i, j = i[good], j[good]
-        x, y = np.minimum(a[i], b[j]), np.maximum(a[i], b[j])
-        return pd.DataFrame({"a": x, "b": y})[x != y].drop_duplicates()
-
+def _groups(frames, by: list[str]):
+    """The rows of each group of a sorted stream, whole."""
+    key, parts = None, []
     for frame in frames:
-        for k, part in frame.groupby(["token", "bi", "bj"], sort=False):
-            if k != key and rows:
-                if (p := pairs()) is not None:
-                    yield p
-                rows = []
+        for k, part in frame.groupby(by, sort=False):
+            if k != key and parts:
+                yield pd.concat(parts) if len(parts) > 1 else parts[0]
+                parts = []
             key = k
-            rows.append(part)
-    if rows and (p := pairs()) is not None:
-        yield p
+            parts.append(part)
+    if parts:
+        yield pd.concat(parts) if len(parts) > 1 else parts[0]
+
+
+def _fitting(f: pd.DataFrame, percent: int):
+    """Rows of the two sides of a block pair, and which of their pairs are candidates that belong to this list.
+
+    A pair across components belongs to the list of the first coordinate that both post and share.
+    """
+    left, right = f[f["side"] != 2], f[f["side"] != 1]
+    if not len(left) or not len(right):
+        return None
+    (la, sa, fa, na, ma), (lb, sb, fb, nb, mb) = (
+        (x["label"].to_numpy(), np.stack(x["sig"].to_numpy()), _bytes(x["fine"]), x["n"].to_numpy(), x["mask"].to_numpy()) for x in (left, right)
+    )
+    own = int(f["token"].iloc[0]) >> 32
+    same = np.zeros((len(left), len(right)), dtype=np.int16)
+    first = np.ones(same.shape, dtype=bool)
+    for j in range(K):
+        equal = sa[:, j][:, None] == sb[:, j][None, :]
+        same += equal
+        if j < own:
+            first &= ~(equal & ((ma >> j & 1) > 0)[:, None] & ((mb >> j & 1) > 0)[None, :])
+    fits = first & (same >= T) & (la[:, None] != lb[None, :])
+    fits &= 100 * np.minimum(na[:, None], nb[None, :]) >= percent * np.maximum(na[:, None], nb[None, :])
+    i, j = np.nonzero(fits)
+    for x in range(0, len(i), 65536):
+        bad = (fa[i[x : x + 65536]] == fb[j[x : x + 65536]]).mean(axis=1) < FINE_SHARE
+        fits[i[x : x + 65536][bad], j[x : x + 65536][bad]] = False
+    return left, right, fits
+
+
+def _needed(frames, percent: int):
+    """The members of each block pair that have a candidate there."""
+    for f in _groups(frames, ["token", "bi", "bj"]):
+        if (met := _fitting(f, percent)) is not None:
+            left, right, fits = met
+            need = set(left["node"].to_numpy()[fits.any(axis=1)]) | set(right["node"].to_numpy()[fits.any(axis=0)])
+            yield f.loc[f["node"].isin(need), ["token", "bi", "bj", "side", "node", "label"]]
+
+
+def _linked(frames, percent: int):
+    """Links among the candidates of each block pair, confirmed on the full sets; pairs that these links already join are skipped."""
+    for f in _groups(frames, ["token", "bi", "bj"]):
+        if (met := _fitting(f, percent)) is None:
+            continue
+        left, right, fits = met
+        up: dict = {}
+
+        def root(x):
+            while x in up:
+                x = up[x]
+            return x
+
+        a, la, sa = (left[c].to_numpy() for c in ("node", "label", "shingles"))
+        b, lb, sb = (right[c].to_numpy() for c in ("node", "label", "shingles"))
+        out = []
+        for i in np.flatnonzero(fits.any(axis=1)):
+            js = np.flatnonzero(fits[i])
+            here = root(la[i])
+            js = js[[root(lb[j]) != here for j in js]]
+            if not len(js):
+                continue
+            sizes = np.array([len(sb[j]) for j in js])
+            flat = np.concatenate([sb[j] for j in js])
+            mine = np.sort(sa[i])  # 64-bit hashes come signed
+            hit = mine[np.minimum(np.searchsorted(mine, flat), len(mine) - 1)] == flat
+            both = np.add.reduceat(hit.astype(np.int64), np.cumsum([0, *sizes[:-1]]))
+            for j in js[100 * both >= percent * (len(mine) + sizes - both)]:
+                if (x := root(la[i])) != (y := root(lb[j])):
+                    up[x] = y
+                    out.append((a[i], b[j]))
+        if out:
+            yield pd.DataFrame(out, columns=["a", "b"])
 
 
 class Finder:
@@ -152,44 +202,47 @@ class Finder:
         return met.join(several.select("token", "size"), "token")
 
     def in_blocks(self, lists: DataFrame) -> DataFrame:
-        """Distinct pairs of different components that collide often enough, from whole lists in blocks."""
-        met = lists.join(self.posted, "node")
+        """Links (a, b) between different components that join all which any link joins, from whole lists in blocks."""
+        signs = ("sig", "fine", "n", "mask")
+        met = lists.join(self.posted.select("node", *signs), "node")
         blocks = F.ceil(F.col("size") / BLOCK).cast("int")
         met = met.withColumns({"blocks": blocks, "own": F.pmod(F.xxhash64("node"), blocks).cast("int")})
         met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        met = met.select(
-            "token",
-            F.least("own", "other").alias("bi"),
-            F.greatest("own", "other").alias("bj"),
-            F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("side"),
-            "node",
-            "label",
-            "sig",
-            "fine",
-            "n",
-        )
-        dealt = met.repartition("token", "bi", "bj").sortWithinPartitions("token", "bi", "bj")
-        percent = self.percent
-        return dealt.mapInPandas(lambda it: _blocks_alike(it, percent), "a long, b long").distinct()
+        side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
+        met = met.withColumns({"bi": F.least("own", "other"), "bj": F.greatest("own", "other"), "side": side})
+        group, percent = ["token", "bi", "bj"], self.percent
+        dealt = met.select(*group, "side", "node", "label", *signs).repartition(*group).sortWithinPartitions(*group)
+        needed = self.keep.write(dealt.mapInPandas(lambda it: _needed(it, percent), "token long, bi int, bj int, side int, node long, label long"))
+        full = needed.join(self.posted.select("node", *signs), "node").join(self.sets, "node")
+        return full.repartition(*group).sortWithinPartitions(*group).mapInPandas(lambda it: _linked(it, percent), "a long, b long")
 
     def components(self) -> DataFrame:
         """(node, label) of the posted classes; every other class stands alone."""
         keep = self.keep
+        gc = self.signed.sparkSession.sparkContext._jvm.System.gc  # lets Spark delete the shuffles of finished steps
         postings = keep.write(self.postings())
-        nodes = postings.select("node").distinct()
-        self.posted = keep.write(self.classes.join(nodes, "node").select("node", "set_key", "doc", "sig", "fine", "n"))
+        gc()
+        bit = F.expr("shiftleft(1L, cast(shiftright(token, 32) as int))")
+        nodes = postings.groupBy("node").agg(F.bit_or(bit).alias("mask"))
+        self.posted = keep.write(self.classes.join(nodes, "node").select("node", "set_key", "doc", "sig", "fine", "n", "mask"))
         n = self.n
         texts = self.rows.join(self.posted.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi").select("text")
         found = texts.mapInArrow(lambda it: full_sets(it, n), "set_key binary, shingles array<long>")
         self.sets = keep.write(found.join(self.posted.select("node", "set_key"), "set_key").select("node", "shingles").dropDuplicates(["node"]))
-        labels = keep.write(nodes.withColumn("label", F.col("node")))
+        gc()
+        labels = keep.write(self.posted.select("node", F.col("node").alias("label")))
         for pivots in (1, PIVOTS, 0):
             lists = keep.write(self.open_lists(postings, labels))
-            pairs = keep.write(self.alike(self.by_pivot(lists, pivots)) if pivots else self.in_blocks(lists))
-            links = keep.write(self.confirmed(pairs))
+            if pivots:
+                pairs = keep.write(self.alike(self.by_pivot(lists, pivots)))
+                links = keep.write(self.confirmed(pairs))
+                keep.drop(pairs)
+            else:
+                links = keep.write(self.in_blocks(lists))
             after = contract(labels, links, keep)
-            keep.drop(lists, pairs, links)
+            keep.drop(lists, links)
             labels = after
+            gc()
         keep.drop(postings, self.posted, self.sets)
         return labels
 
