@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions import binning, shoebox
+from tessera.functions import binning, geometry, shoebox
 from tessera.functions.flags import FLAGS, FlagExpression, flag_census, has_flags, set_flags, unset_flags
-from tessera.operators import graph, groups, joins, outliers, table
+from tessera.operators import graph, groups, joins, outliers, reports, table
 from tessera.sources import formats
 from tessera.streaming import events as streams
 
@@ -439,6 +439,84 @@ def per_image_statistics(spark, d):
     )
 
 
+# rows against a small aggregate
+
+
+@query(f"{M}, b AS (SELECT id, panel AS bin, CASE WHEN avg(intensity / sqrt(variance)) >= 12800 THEN 1 ELSE 0 END AS ok FROM m WHERE intensity / sqrt(variance) > 0 GROUP BY id, panel), r AS (SELECT id, bin, min(ok) OVER (PARTITION BY id ORDER BY bin) AS run FROM b), g AS (SELECT id, max(bin) AS last FROM r WHERE run = 1 GROUP BY id) SELECT row_id, id, panel FROM m JOIN g USING (id) WHERE panel <= last")
+def significance_filter(spark, d):
+    m = measurements(spark, d)
+    return reports.significance_filter(m, "id", "panel", F.col("intensity") / F.sqrt("variance"), 12800.0).select("row_id", "id", "panel")
+
+
+@query(f"{M}, w AS (SELECT * FROM (VALUES (2600, 2620), (3000, 3400)) t(lo, hi)), c AS (SELECT row_id, z, z + 4 AS z1, (SELECT sum(greatest(0, least(z + 4, hi) - greatest(z, lo))) FROM w) AS dead FROM m) SELECT row_id FROM c WHERE dead / 4 <= 0.3")
+def dead_time_filter(spark, d):
+    m = measurements(spark, d).select("row_id", F.col("z").cast("double").alias("z0"), (F.col("z") + 4.0).alias("z1"))
+    windows = spark.createDataFrame([(2600.0, 2620.0), (3000.0, 3400.0)], "lo double, hi double")
+    return reports.dead_time(m, windows, "z0", "z1", 0.3).select("row_id")
+
+
+@query(f"{M}, b AS (SELECT row_id, id, z, panel, x, x + 1 + panel % 2 AS x1, CAST(round(d * 10) AS INT) AS y, CAST(round(d * 10) AS INT) + 2 AS y1 FROM m), p AS (SELECT row_id, id, z, px, py FROM (SELECT *, unnest(range(x, x1)) AS px FROM b), LATERAL (SELECT unnest(range(y, y1)) AS py)), q AS (SELECT id, z, px, py FROM p GROUP BY ALL HAVING min(row_id) <> max(row_id)) SELECT row_id FROM b WHERE row_id NOT IN (SELECT row_id FROM p JOIN q USING (id, z, px, py))")
+def unique_pixel_filter(spark, d):
+    b = measurements(spark, d).select("row_id", "id", "z", "x", (F.col("x") + 1 + F.col("panel") % 2).alias("x1"), F.round(F.col("d") * 10).cast("int").alias("y"))
+    b = b.withColumn("y1", F.col("y") + 2)
+    return reports.unique_pixels(b, ["id", "z"], ("x", "x1"), ("y", "y1")).select("row_id")
+
+
+@query(f"{M}, b AS (SELECT panel, avg(intensity) AS mean FROM m GROUP BY panel) SELECT row_id, round(intensity / mean, 6) AS e_squared FROM m JOIN b USING (panel) WHERE intensity / mean > 1.9")
+def wilson_outliers(spark, d):
+    out = reports.normalised_squares(measurements(spark, d).select("row_id", "panel", "intensity"), "panel", "intensity")
+    return out.where("e_squared > 1.9").select("row_id", F.round("e_squared", 6).alias("e_squared"))
+
+
+@query(f"{M}, k AS (SELECT DISTINCT key FROM m), r AS (SELECT key, row_number() OVER (ORDER BY key) - 1 AS r FROM k) SELECT row_id, (r - 1) % 20 = 0 AS free FROM m JOIN r USING (key)")
+def free_set(spark, d):
+    return reports.free_set(measurements(spark, d).select("row_id", "key"), "key", 20, 1).select("row_id", "free")
+
+
+@query(f"{M}, c AS (SELECT range AS key FROM range(0, 2500)) SELECT key FROM c WHERE key NOT IN (SELECT key FROM m WHERE id = 0)")
+def missing_keys(spark, d):
+    complete = spark.range(0, 2500).select(F.col("id").alias("key"))
+    return reports.missing_keys(measurements(spark, d).where("id = 0"), complete, ["key"])
+
+
+@query(f"{M} " + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", CAST(min({c}) AS DOUBLE) AS low, CAST(max({c}) AS DOUBLE) AS high, round(avg({c}), 6) AS mean FROM m" for c in ("intensity", "variance", "d", "z")))
+def column_summary(spark, d):
+    return reports.column_summary(measurements(spark, d), ["intensity", "variance", "d", "z"]).withColumn("mean", F.round("mean", 6))
+
+
+@query(f"{M}, g AS (SELECT id, d, row_number() OVER (PARTITION BY id ORDER BY d) AS r, count(*) OVER (PARTITION BY id) AS n FROM m) SELECT id, count(*) AS n, round(max(greatest(r / n - (d - 1) / 5.1, (d - 1) / 5.1 - (r - 1) / n)), 9) AS d FROM g GROUP BY id")
+def ks_distance(spark, d):
+    m = measurements(spark, d).select("id", F.col("d").alias("v"))
+    return reports.kolmogorov_smirnov(m, ["id"], (F.col("v") - 1) / 5.1, "v").withColumn("d", F.round("d", 9))
+
+
+# formulas
+
+
+@query(f"{M} SELECT row_id, k AS h2, -h AS k2, l + h AS l2, round(CASE WHEN h * h + k * k + l * l > 0 THEN 1 / sqrt(h * h / 100.0 + k * k / 400.0 + l * l / 900.0) END, 6) AS spacing FROM m")
+def reindex_and_spacing(spark, d):
+    m = measurements(spark, d)
+    index = [F.col(c) for c in "hkl"]
+    h2, k2, l2 = geometry.reindexed(index, [[0, 1, 0], [-1, 0, 0], [1, 0, 1]])
+    spacing = geometry.d_spacing(*index, geometry.reciprocal_metric(10, 20, 30, 90, 90, 90))
+    return m.select("row_id", h2.alias("h2"), k2.alias("k2"), l2.alias("l2"), F.round(spacing, 6).alias("spacing"))
+
+
+@query("SELECT vec_id, -embedding[1] * 0.5 + embedding[3] * 0 < 0 AS entering, round((x * 0 + y * 1 + z * 0) / sqrt(x * x + y * y + z * z), 6) AS zeta FROM (SELECT vec_id, embedding, CAST(embedding[2] AS DOUBLE) * 0.5 AS x, -CAST(embedding[1] AS DOUBLE) * 0.5 AS y, 0.0 AS z FROM embeddings)")
+def entering_and_zeta(spark, d):
+    s1 = [F.col("embedding")[i].cast("double") for i in range(3)]
+    e = read(spark, d, "embeddings")
+    s0, axis = [0.0, 0.0, 0.5], [0.0, 1.0, 0.0]
+    return e.select("vec_id", geometry.entering(s1, s0, axis).alias("entering"), F.round(geometry.zeta(s1, s0, axis), 6).alias("zeta"))
+
+
+@query(f"{M} SELECT row_id, round(CASE WHEN intensity <= 0 THEN intensity ELSE intensity / (1 + power(intensity / 40000, 3)) + (1 - 1 / (1 + power(intensity / 40000, 3))) * intensity * scale END, 3) AS blended, round((variance + (0.02 * intensity) * (0.02 * intensity)) * 1.44, 3) AS new_variance FROM m")
+def blend_and_error_model(spark, d):
+    m = measurements(spark, d)
+    fitted = F.col("intensity") * F.col("scale")
+    return m.select("row_id", F.round(geometry.blended(F.col("intensity"), fitted, 40000.0), 3).alias("blended"), F.round(geometry.error_model(F.col("variance"), F.col("intensity"), 1.2, 0.02), 3).alias("new_variance"))
+
+
 # arrays and graphs
 
 
