@@ -47,8 +47,8 @@ class _Terms(dict):
 
 
 _SEEN = _Terms()
-#: Tenths of a text's words or lines that are distinct, and its size.
-_LEVELS = {kind: [_term(f"{kind} {k}") for k in range(64)] for kind in ("words", "lines", "size")}
+#: Tenths of a text's words or lines that are distinct.
+_LEVELS = {kind: [_term(f"{kind} {k}") for k in range(11)] for kind in ("words", "lines")}
 
 
 def term_counts(text: str) -> np.ndarray:
@@ -58,11 +58,7 @@ def term_counts(text: str) -> np.ndarray:
         return np.zeros(TERMS)
     counts = np.bincount(list(map(_SEEN.__getitem__, words)), minlength=TERMS).astype(float)
     lines = text.split("\n")
-    for kind, level in (
-        ("words", 10 * len(set(words)) // len(words)),
-        ("lines", 10 * len(set(lines)) // len(lines)),
-        ("size", len(words).bit_length()),
-    ):
+    for kind, level in (("words", 10 * len(set(words)) // len(words)), ("lines", 10 * len(set(lines)) // len(lines))):
         counts[_LEVELS[kind][level]] += len(words)
     return counts
 
@@ -118,7 +114,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample: int = 4000, dims: int = 6
     counts = np.frombuffer(b"".join(found["counts"]), dtype=np.float32).reshape(-1, TERMS).astype(float)
     if not len(y):
         return Model(np.ones(TERMS), np.zeros((TERMS, 1)), np.zeros((0, 1), np.float32), y, 1.0)
-    idf = np.log((1 + len(y)) / (1 + (counts > 0).sum(axis=0))) + 0.1
+    idf = np.log((1 + len(y)) / (1 + (counts > 0).sum(axis=0))) + 1.0
     rows_ = np.log1p(counts) * idf
     size = np.linalg.norm(rows_, axis=1, keepdims=True)
     rows_ /= np.where(size > 0, size, 1)
