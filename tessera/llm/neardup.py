@@ -226,7 +226,8 @@ class Finder:
         nodes = postings.groupBy("node").agg(F.bit_or(bit).alias("mask"))
         self.posted = keep.write(self.classes.join(nodes, "node").select("node", "set_key", "doc", "sig", "fine", "n", "mask"))
         n = self.n
-        texts = self.rows.join(self.posted.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi").select("text")
+        wanted = self.posted.select(F.col("doc").alias("doc_id")).distinct().hint("merge")  # one plan at every size
+        texts = self.rows.join(wanted, "doc_id", "left_semi").select("text")
         found = texts.mapInArrow(lambda it: full_sets(it, n), "set_key binary, shingles array<long>")
         self.sets = keep.write(found.join(self.posted.select("node", "set_key"), "set_key").select("node", "shingles").dropDuplicates(["node"]))
         gc()

@@ -188,7 +188,7 @@ def repeated_passages(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "t
     one = F.min(F.struct("doc_id", "text_key", "pos")).alias("at")
     classes = keep.write(kept.groupBy("class").agg(*span, one))
     asked = classes.groupBy(F.col("at.doc_id").alias("doc_id"), F.col("at.text_key").alias("text_key")).agg(F.collect_list("at.pos").alias("at"))
-    texts = rows.join(asked, ["doc_id", "text_key"]).dropDuplicates(["doc_id", "text_key"]).select("text", "at")
+    texts = rows.join(asked.hint("merge"), ["doc_id", "text_key"]).dropDuplicates(["doc_id", "text_key"]).select("text", "at")
     sides = texts.mapInPandas(_contexts, "gram long, class long, after binary, before binary, n_before int, n_after int")
     rowed = keep.write(sides.dropDuplicates(["class"]).join(classes.select("class", "low", "high"), "class"))
     gc()
