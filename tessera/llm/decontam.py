@@ -4,7 +4,7 @@ Documents are cut into overlapping passages. Their TF-IDF vectors, over the benc
 passage nearer to an item), span a latent space that a randomised SVD finds in one distributed pass: every task adds up
 its share of A'A O for a fixed random O, the shares are summed, and a Nystrom factorisation gives the right singular
 vectors. Passages near an item by cosine are candidates. A candidate holds if its longest common subsequence with the
-item covers enough of the item's words, and enough of the item's answer, its rarest words, stands in the passage.
+item covers enough of the item's words, and enough of the item's answer, its longest words, stands in the passage.
 
 Words become small integers once, in a written table; the later passes read those. Frequencies and the space cover every
 document. What goes to every task is bounded by the benchmark: its vocabulary, and blocks of ITEMS item passages.
@@ -29,9 +29,11 @@ DIMS, EXTRA = 128, 16
 #: Item passages that one pass searches for.
 ITEMS = 20_000
 #: Terms summed at a time.
-TERM_BLOCK = 1024
-#: Words in more than this share of documents weigh nothing.
-COMMON = 0.2
+TERM_BLOCK = 64
+#: Words in more than this share of documents weigh nothing; the others' inverse document frequency to this power.
+COMMON, RARITY = 0.05, 2
+#: An item of fewer words with weight is compared with every passage (words of an item that many documents hold are common).
+WEIGHTED = 5
 #: Memoised words per Python worker, after which the memo starts afresh.
 MEMO_WORDS = 600_000
 
@@ -75,49 +77,67 @@ def _documents_with(frames, kind, size: int):
     yield pd.DataFrame({"term": at, "n": total[at]})
 
 
-def passages(documents: list[np.ndarray], weight: np.ndarray):
-    """The weighted terms of all passages: (passage, term, weight of the occurrence in a unit row), and each passage's document and first word.
+@dataclass
+class Chunks:
+    """The weighted terms of documents cut every STRIDE words; a passage is a chunk with the next one of its document.
 
-    A passage starts every STRIDE words while WINDOW - STRIDE words or more are left behind its start, once at least.
+    ``chunk`` and ``term`` name each occurrence that has weight, ``first`` and ``count`` each document's chunks.
     """
-    flat = np.concatenate(documents) if documents else np.zeros(0, np.int64)
-    sizes = np.array([len(d) for d in documents], dtype=np.int64)
-    starts_at = np.cumsum([0, *sizes])[:-1]
-    n = np.maximum(1, -(-(sizes - (WINDOW - STRIDE)) // STRIDE))
-    first = np.cumsum([0, *n])[:-1]
-    at = np.flatnonzero(weight[flat])
-    doc = np.searchsorted(starts_at, at, side="right") - 1
-    place = at - starts_at[doc]
-    last = np.minimum(place // STRIDE, n[doc] - 1)
-    earlier = last - 1
-    also = (earlier >= 0) & (place < earlier * STRIDE + WINDOW)
-    rows = np.concatenate([first[doc] + last, (first[doc] + earlier)[also]])
-    terms = np.concatenate([flat[at], flat[at][also]]).astype(np.int64)
-    keep = place < last * STRIDE + WINDOW
-    if not keep.all():
-        rows, terms = np.concatenate([rows[: len(at)][keep], rows[len(at) :]]), np.concatenate([terms[: len(at)][keep], terms[len(at) :]])
-    total = int(n.sum())
-    # term frequency enters by its square root: each of f occurrences counts 1 / sqrt(f)
-    pair = rows * len(weight) + terms
-    _, which, count = np.unique(pair, return_inverse=True, return_counts=True)
-    value = weight[terms] / np.sqrt(count[which])
-    size = np.sqrt(np.bincount(rows, weights=value * value * count[which], minlength=total))
-    value = value / np.where(size > 0, size, 1)[rows]
-    owner = np.repeat(np.arange(len(documents)), n)
-    return rows, terms, value, owner, (np.arange(total) - first[owner]) * STRIDE
-
-
-def projected(rows, terms, value, total: int, basis: np.ndarray) -> np.ndarray:
-    """Rows of the sparse matrix times basis, in blocks."""
-    out = np.zeros((total, basis.shape[1]), dtype=np.float32)
-    order = np.argsort(rows, kind="stable")
-    rows, terms, value = rows[order], terms[order], value[order].astype(np.float32)
-    cuts = np.append(np.flatnonzero(np.diff(rows, prepend=-1)), len(rows))
-    for at in range(0, len(cuts) - 1, 4096):
-        lo = cuts[at : min(at + 4096, len(cuts) - 1)]
-        hi = cuts[min(at + 4096, len(cuts) - 1)]
-        out[rows[lo]] = np.add.reduceat(basis[terms[lo[0] : hi]] * value[lo[0] : hi, None], lo - lo[0], axis=0)
-    return out
+
+    chunk: np.ndarray
+    term: np.ndarray
+    first: np.ndarray
+    count: np.ndarray
+
+    @classmethod
+    def of(cls, documents: list[np.ndarray], weight: np.ndarray) -> Chunks:
+        flat = np.concatenate(documents) if documents else np.zeros(0, np.int64)
+        sizes = np.array([len(d) for d in documents], dtype=np.int64)
+        count = np.maximum(1, -(-sizes // STRIDE))
+        first = np.cumsum([0, *count])[:-1].astype(np.int64)
+        at = np.flatnonzero(weight[flat])
+        doc = np.repeat(np.arange(len(documents)), sizes)[at]
+        place = at - (np.cumsum(sizes) - sizes)[doc]
+        return cls(first[doc] + place // STRIDE, flat[at].astype(np.int64), first, count)
+
+    def sums(self, basis: np.ndarray) -> np.ndarray:
+        """Each chunk's sum of its terms' rows of basis: the k-th occurrence of all chunks at a time."""
+        total = int(self.count.sum())
+        n = np.bincount(self.chunk, minlength=total)
+        order = np.argsort(-n, kind="stable")  # chunks with most terms first
+        starts = (np.cumsum(n) - n)[order]
+        n = n[order]
+        out = np.zeros((total, basis.shape[1]), dtype=np.float32)
+        for k in range(int(n[0]) if total else 0):
+            m = int(np.searchsorted(-n, -k, side="left"))  # chunks with more than k terms
+            out[:m] += basis[self.term[starts[:m] + k]]
+        back = np.empty_like(out)
+        back[order] = out
+        return back
+
+    def passages(self, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each passage's vector, document and first word; a document of one chunk has one passage."""
+        last = self.first + self.count - 1
+        more = np.ones(len(sums), dtype=bool)
+        more[last[self.count > 1]] = False
+        owner = np.repeat(np.arange(len(self.first)), self.count)
+        at = np.flatnonzero(more)
+        z = sums[at].copy()
+        pair = self.count[owner[at]] > 1
+        z[pair] += sums[at[pair] + 1]
+        return z, owner[at], (at - self.first[owner[at]]) * STRIDE
+
+    def both(self, z: np.ndarray) -> np.ndarray:
+        """For each chunk the sum of the vectors of the passages that it is in."""
+        last = self.first + self.count - 1
+        more = np.ones(int(self.count.sum()), dtype=bool)
+        more[last[self.count > 1]] = False
+        out = np.zeros((len(more), z.shape[1]), dtype=z.dtype)
+        out[more] = z
+        up = np.flatnonzero(more)
+        pair = np.repeat(self.count, self.count)[up] > 1
+        out[up[pair] + 1] += z[pair]
+        return out
 
 
 def _documents(words, kind):
@@ -125,14 +145,16 @@ def _documents(words, kind):
 
 
 def _sketched(frames, kind, weight, omega):
-    """This task's share of A'A O, by blocks of terms."""
+    """This task's share of A'A O, by blocks of terms. ``omega`` is O with each row times its term's weight, as A's columns are."""
     total = np.zeros(omega.value.shape)
     for frame in frames:
         for at in range(0, len(frame), 512):
-            rows, terms, value, owner, _ = passages(_documents(frame["words"].iloc[at : at + 512], kind), weight.value)
-            y = projected(rows, terms, value, len(owner), omega.value)
+            chunks = Chunks.of(_documents(frame["words"].iloc[at : at + 512], kind), weight.value)
+            z, _, _ = chunks.passages(chunks.sums(omega.value))
+            y = np.asfortranarray(chunks.both(z))
             for j in range(total.shape[1]):
-                total[:, j] += np.bincount(terms, weights=value * y[rows, j], minlength=len(total))
+                total[:, j] += np.bincount(chunks.term, weights=y[chunks.chunk, j], minlength=len(total))
+    total *= weight.value[:, None]
     for block in range(0, len(total), TERM_BLOCK):
         if (part := total[block : block + TERM_BLOCK]).any():
             yield pd.DataFrame({"block": [block], "part": [part.tobytes()]})
@@ -177,7 +199,7 @@ def lcs_length(a, b) -> int:
 
 @dataclass
 class Item:
-    """A passage of a benchmark item: its words' numbers, the answer, the rarest quarter of them, and the fewest distinct ones a leak has."""
+    """A passage of a benchmark item: its words' numbers, the answer, the longest quarter of them, and the fewest distinct ones a leak has."""
 
     item_id: int
     words: list[int]
@@ -188,19 +210,22 @@ class Item:
 
 def _found(batches, kind, weight, basis, vectors, items, cosine: float, share: float, answer: float):
     weight, basis, vectors, items = weight.value, basis.value, vectors.value, items.value
+    anywhere = [k for k, item in enumerate(items) if (weight[list(item.distinct)] > 0).sum() < WEIGHTED]
     for whole in batches:
         for at in range(0, whole.num_rows, 512):
             batch = whole.slice(at, 512)
             docs = _documents(batch.column(1).to_pylist(), kind)
-            rows, terms, value, owner, first = passages(docs, weight)
-            z = projected(rows, terms, value, len(owner), basis)
+            chunks = Chunks.of(docs, weight)
+            z, owner, first = chunks.passages(chunks.sums(basis))
             size = np.linalg.norm(z, axis=1, keepdims=True)
             z /= np.where(size > 0, size, 1)
             best: dict[tuple[int, int], tuple] = {}
             for lo in range(0, len(z), 8192):
                 near = z[lo : lo + 8192] @ vectors.T
                 last = -1
-                for p, i in zip(*(x.tolist() for x in np.nonzero(near >= cosine)), strict=True):
+                asked = near >= cosine
+                asked[:, anywhere] = True
+                for p, i in zip(*(x.tolist() for x in np.nonzero(asked)), strict=True):
                     if p != last:
                         last, doc, start = p, int(owner[lo + p]), int(first[lo + p])
                         seen = docs[doc][max(0, start - MARGIN) : start + WINDOW + MARGIN].tolist()
@@ -234,7 +259,7 @@ def find_leaks(
     text: str = "text",
     item_id: str = "item_id",
     item_text: str = "text",
-    cosine: float = 0.27,
+    cosine: float = 0.4,
     share: float = 0.6,
     answer: float = 0.5,
 ) -> DataFrame:
@@ -265,7 +290,7 @@ def find_leaks(
     in_docs = np.zeros(size)
     for r in seen.groupBy("term").agg(F.sum("n").alias("n")).toLocalIterator():  # a row per word of the benchmark at most
         in_docs[r.term] = r.n
-    weight = np.log((1 + n_docs) / (1 + in_docs)).clip(0)
+    weight = np.log((1 + n_docs) / (1 + in_docs)).clip(0) ** RARITY
     weight[(in_docs > COMMON * n_docs) & (n_docs >= 50)] = 0
     weight[0] = 0
 
@@ -274,28 +299,26 @@ def find_leaks(
         numbers = np.array([vocabulary[w] for w in words])
         n = -(-len(numbers) // WINDOW)
         parts += [(i, numbers[len(numbers) * k // n : len(numbers) * (k + 1) // n]) for k in range(n)]
-    searched = []
+    searched, spelled = [], list(vocabulary)
     for i, numbers in parts:
-        distinct = np.unique(numbers)
-        rare = distinct[np.argsort(in_docs[distinct], kind="stable")].tolist()
+        distinct = np.unique(numbers).tolist()
+        telling = sorted(distinct, key=lambda n: (-len(spelled[n - 1]), n))  # leaks would make rare words frequent
         least = share * len(numbers) - (len(numbers) - len(distinct))
-        searched.append(Item(i, numbers.tolist(), set(rare), set(rare[: -(-len(rare) // 4)]), least))
+        searched.append(Item(i, numbers.tolist(), set(distinct), set(telling[: -(-len(telling) // 4)]), least))
     omega = np.random.default_rng(11).standard_normal((size, DIMS + EXTRA)).astype(np.float32)
-    sent_weight, sent_omega = send(weight), send(omega)
+    sent_weight, sent_omega = send(weight), send((omega * weight[:, None]).astype(np.float32))
     shares = numbered.select("words").mapInPandas(lambda it: _sketched(it, kind, sent_weight, sent_omega), "block int, part binary")
     sums = shares.repartition("block").mapInPandas(_summed, "block int, part binary")
     b = np.zeros((size, omega.shape[1]))
     for r in sums.toLocalIterator():  # a row per TERM_BLOCK words of the benchmark
         part = np.frombuffer(r.part).reshape(-1, omega.shape[1])
         b[r.block : r.block + len(part)] = part
-    basis = nystrom(b, omega.astype(float), DIMS).astype(np.float32)
+    basis = (nystrom(b, omega.astype(float), DIMS) * weight[:, None]).astype(np.float32)
     sent_basis = send(basis)
     out = None
     for at in range(0, len(searched), ITEMS):
         block = searched[at : at + ITEMS]
-        r, t, v, owner, _ = passages([np.array(x.words) for x in block], weight)
-        z = projected(r, t, v, len(owner), basis)  # an item of up to WINDOW words may have a second passage
-        z = z[np.flatnonzero(np.diff(owner, prepend=-1))]
+        z = np.stack([basis[x.words].sum(axis=0) for x in block])
         norm = np.linalg.norm(z, axis=1, keepdims=True)
         sent_vectors, sent_items = send(z / np.where(norm > 0, norm, 1)), send(block)
         one = numbered.mapInArrow(
