@@ -167,7 +167,8 @@ class Finder:
         """(token, node): the prefix of each class, where another class has the token too."""
         token = F.transform("sig", lambda v, i: F.shiftleft(i.cast("long"), 32).bitwiseOR(v.cast("long").bitwiseAND(F.lit(0xFFFFFFFF))))
         pairs = self.classes.select("node", F.explode(token).alias("token"))
-        often = pairs.groupBy("token").agg(F.count("*").alias("often")).where("often > 1")
+        # written, so that the join's two sides are shuffled on their own and a frequent token's rows can be split
+        often = self.keep.write(pairs.groupBy("token").agg(F.count("*").alias("often")).where("often > 1"))
         shared = pairs.join(often, "token").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("often", "token"))).alias("shared"))
         prefix = F.slice("shared", F.lit(1), F.size("shared") - T + 1)
         return shared.where(F.size("shared") >= T).select("node", F.explode(prefix).alias("p")).select(F.col("p.token").alias("token"), "node")
@@ -192,14 +193,15 @@ class Finder:
         kind = F.pmod("token", F.lit(pivots))
         pick = F.struct((F.xxhash64("node", kind) if pivots > 1 else F.col("node")).alias("by"), "node", "label")
         pivot = lists.groupBy("token").agg(F.min(pick).alias("p")).select("token", F.col("p.node").alias("pivot"), F.col("p.label").alias("pivot_label"))
+        pivot = self.keep.write(pivot)
         met = lists.join(pivot, "token").where("label <> pivot_label")
         return met.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
 
     def open_lists(self, postings: DataFrame, labels: DataFrame) -> DataFrame:
         """(token, node, label) of the lists that hold several components."""
-        met = postings.join(labels, "node")
+        met = self.keep.write(postings.join(labels, "node"))
         several = met.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
-        return met.join(several.select("token", "size"), "token")
+        return met.join(self.keep.write(several.select("token", "size")), "token")
 
     def in_blocks(self, lists: DataFrame) -> DataFrame:
         """Links (a, b) between different components that join all which any link joins, from whole lists in blocks."""
