@@ -6,6 +6,9 @@ its share of A'A O for a fixed random O, the shares are summed, and a Nystrom fa
 vectors. Passages near an item by cosine are candidates. A candidate holds if its longest common subsequence with the
 item covers enough of the item's words, and enough of the item's answer, its longest words, stands in the passage.
 
+The space has DIMS dimensions whatever the benchmark, so it isn't what decides: each item is also posted under its rarest
+words, as many as leave too few others for a leak, and every passage that holds one of them is a candidate as well.
+
 Words become small integers once, in a written table; the later passes read those. Frequencies and the space cover every
 document. What goes to every task is bounded by the benchmark: its vocabulary, and blocks of ITEMS item passages.
 """
@@ -30,10 +33,9 @@ DIMS, EXTRA = 128, 16
 ITEMS = 20_000
 #: Terms summed at a time.
 TERM_BLOCK = 64
-#: Words in more than this share of documents weigh nothing; the others' inverse document frequency to this power.
-COMMON, RARITY = 0.05, 2
-#: An item of fewer words with weight is compared with every passage (words of an item that many documents hold are common).
-WEIGHTED = 5
+#: Words in more than this share of documents, and of SMOOTH further ones, weigh nothing; the others' inverse document
+#: frequency to this power.
+COMMON, SMOOTH, RARITY = 0.05, 50, 2
 #: Memoised words per Python worker, after which the memo starts afresh.
 MEMO_WORDS = 600_000
 
@@ -199,18 +201,69 @@ def lcs_length(a, b) -> int:
 
 @dataclass
 class Item:
-    """A passage of a benchmark item: its words' numbers, the answer, the longest quarter of them, and the fewest distinct ones a leak has."""
+    """A passage of a benchmark item: its words' numbers, the answer, the longest quarter of them, and the fewest distinct ones a leak has.
+
+    A leak holds one of the words ``posted``; None if anything is one.
+    """
 
     item_id: int
     words: list[int]
     distinct: set[int]
     answer: set[int]
-    least: float
+    least: int
+    posted: list[int] | None
+
+
+def needed(n: int, share: float) -> int:
+    """The least count whose share of n is enough."""
+    h = max(0, int(share * n) - 1)
+    while h / n < share:
+        h += 1
+    return h
+
+
+def posting(choices: list[tuple[set[int], int]], in_docs) -> list[int] | None:
+    """The words to post an item under, for choices of (words, how many of them a leak has): the rarest of one choice.
+
+    A leak lacks at most len(words) - least of them, so that it holds one of any len(words) - least + 1.
+    """
+    lists = [sorted(words, key=lambda w: (in_docs[w], w))[: max(0, len(words) - least + 1)] for words, least in choices if least > 0]
+    return min(lists, key=lambda words: sum(in_docs[w] for w in words), default=None)
+
+
+class Postings:
+    """The items of a block by the words that they are posted under."""
+
+    def __init__(self, items: list[Item], size: int):
+        pairs = np.array([(w, k) for k, item in enumerate(items) for w in item.posted or ()], dtype=np.int64).reshape(-1, 2)
+        self.items = pairs[np.argsort(pairs[:, 0], kind="stable"), 1]
+        self.count = np.bincount(pairs[:, 0], minlength=size)
+        self.first = np.cumsum(self.count) - self.count
+
+    def met(self, documents: list[np.ndarray], chunks: Chunks) -> tuple[np.ndarray, np.ndarray]:
+        """Passages and items, by passage: those whose passage, with its margins, holds a word that the item is posted under."""
+        flat = np.concatenate(documents) if documents else np.zeros(0, np.int64)
+        sizes = np.array([len(d) for d in documents], dtype=np.int64)
+        at = np.flatnonzero(self.count[flat])
+        doc = np.repeat(np.arange(len(documents)), sizes)[at]
+        place, word = at - (np.cumsum(sizes) - sizes)[doc], flat[at].astype(np.int64)
+        n = np.maximum(1, chunks.count - 1)  # passages of a document
+        base = (np.cumsum(n) - n)[doc]
+        low = np.maximum(0, (place - WINDOW - MARGIN) // STRIDE + 1)
+        high = np.minimum(n[doc] - 1, (place + MARGIN) // STRIDE)
+        size = len(self.count)
+        spans = range(int((high - low).max(initial=-1)) + 1)
+        held = np.unique(np.concatenate([np.zeros(0, np.int64), *((base + low + k)[low + k <= high] * size + word[low + k <= high] for k in spans)]))
+        passage, word = held // size, held % size
+        n = self.count[word]
+        which = np.repeat(self.first[word] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        return np.repeat(passage, n), self.items[which]
 
 
 def _found(batches, kind, weight, basis, vectors, items, cosine: float, share: float, answer: float):
     weight, basis, vectors, items = weight.value, basis.value, vectors.value, items.value
-    anywhere = [k for k, item in enumerate(items) if (weight[list(item.distinct)] > 0).sum() < WEIGHTED]
+    postings = Postings(items, len(weight))
+    anywhere = [k for k, item in enumerate(items) if item.posted is None]
     for whole in batches:
         for at in range(0, whole.num_rows, 512):
             batch = whole.slice(at, 512)
@@ -219,12 +272,15 @@ def _found(batches, kind, weight, basis, vectors, items, cosine: float, share: f
             z, owner, first = chunks.passages(chunks.sums(basis))
             size = np.linalg.norm(z, axis=1, keepdims=True)
             z /= np.where(size > 0, size, 1)
+            passage, posted = postings.met(docs, chunks)
             best: dict[tuple[int, int], tuple] = {}
             for lo in range(0, len(z), 8192):
                 near = z[lo : lo + 8192] @ vectors.T
                 last = -1
                 asked = near >= cosine
                 asked[:, anywhere] = True
+                part = slice(*np.searchsorted(passage, [lo, lo + 8192]))
+                asked[passage[part] - lo, posted[part]] = True
                 for p, i in zip(*(x.tolist() for x in np.nonzero(asked)), strict=True):
                     if p != last:
                         last, doc, start = p, int(owner[lo + p]), int(first[lo + p])
@@ -291,7 +347,7 @@ def find_leaks(
     for r in seen.groupBy("term").agg(F.sum("n").alias("n")).toLocalIterator():  # a row per word of the benchmark at most
         in_docs[r.term] = r.n
     weight = np.log((1 + n_docs) / (1 + in_docs)).clip(0) ** RARITY
-    weight[(in_docs > COMMON * n_docs) & (n_docs >= 50)] = 0
+    weight[in_docs > COMMON * (n_docs + SMOOTH)] = 0
     weight[0] = 0
 
     parts = []
@@ -303,8 +359,12 @@ def find_leaks(
     for i, numbers in parts:
         distinct = np.unique(numbers).tolist()
         telling = sorted(distinct, key=lambda n: (-len(spelled[n - 1]), n))  # leaks would make rare words frequent
-        least = share * len(numbers) - (len(numbers) - len(distinct))
-        searched.append(Item(i, numbers.tolist(), set(distinct), set(telling[: -(-len(telling) // 4)]), least))
+        told = set(telling[: -(-len(telling) // 4)])
+        least = needed(len(numbers), share) - (len(numbers) - len(distinct))
+        if share > 0:  # a common subsequence has a word
+            least = max(1, least)
+        posted = posting([(told, needed(len(told), answer)), (set(distinct), least)], in_docs)
+        searched.append(Item(i, numbers.tolist(), set(distinct), told, least, posted))
     omega = np.random.default_rng(11).standard_normal((size, DIMS + EXTRA)).astype(np.float32)
     sent_weight, sent_omega = send(weight), send((omega * weight[:, None]).astype(np.float32))
     shares = numbered.select("words").mapInPandas(lambda it: _sketched(it, kind, sent_weight, sent_omega), "block int, part binary")

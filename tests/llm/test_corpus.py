@@ -170,6 +170,23 @@ def test_leaks(spark):
     assert decontam.find_leaks(docs.limit(0), bench).count() == decontam.find_leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_leaks_of_a_large_benchmark(spark):
+    """Every one of 2000 items cut from documents is found in its document, in one far outside the latent space too."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    rng = random.Random(5)
+    texts = sorted((r.doc_id, decontam.words_of(r.text or "")) for r in docs.collect())
+    texts = [(i, w) for i, w in texts if len(w) >= 20 and all(w)]
+    items = []
+    for k in range(2000):
+        i, w = rng.choice(texts)
+        at = rng.randint(0, len(w) - 20)
+        items.append((k, " ".join(w[at : at + 20]), i))
+    bench = spark.createDataFrame([(k, t) for k, t, _ in items], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in decontam.find_leaks(docs, bench).collect()}
+    assert not [k for k, _, i in items if (i, k) not in got or got[i, k].lcs_share < 1]
+    assert min(r.cosine for r in got.values()) < 0.4
+
+
 def test_lcs():
     rng = random.Random(0)
     for _ in range(200):
