@@ -31,12 +31,15 @@ def worst_outliers(table: DataFrame, key: list[str], value: Column, scale: Colum
     return scored.withColumn("_k", F.row_number().over(worst)).where("_k = 1").drop("_k")
 
 
-def iterative_outliers(table: DataFrame, key: list[str], value: Column, scale: Column, weight: Column, zmax: float, row_id: str = "row_id", rounds: int = 20) -> DataFrame:
-    """row_id of all outliers: rounds of worst_outliers on what is left of the groups that the last round changed, until none is found."""
-    found, left = None, table
-    for _ in range(rounds):
+def iterative_outliers(table: DataFrame, key: list[str], value: Column, scale: Column, weight: Column, zmax: float, row_id: str = "row_id", rounds: int | None = None) -> DataFrame:
+    """row_id of all outliers: rounds of worst_outliers on what is left of the groups that the last round changed, until none is found, or of so many rounds."""
+    found, left, done = None, table, 0
+    while found is None or rounds is None or done < rounds:
+        done += 1
         worst = worst_outliers(left, key, value, scale, weight, zmax, row_id).select(row_id, *key).checkpoint()
         found = worst.select(row_id) if found is None else found.unionByName(worst.select(row_id))
+        if done % 16 == 0:  # a plan of a bounded number of unions
+            found = found.checkpoint()
         if worst.isEmpty():
             break
         left = left.join(worst.select(*key), key, "left_semi").join(worst.select(row_id), row_id, "left_anti").checkpoint()

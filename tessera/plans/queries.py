@@ -372,7 +372,7 @@ def leave_one_out_round1(spark, d):
 def iterative_outliers(spark, d):
     graph._dir(measurements(spark, d))
     m = measurements(spark, d).select("row_id", "key", "intensity", "variance", "scale")
-    return outliers.iterative_outliers(m, ["key"], F.col("intensity"), F.col("scale"), 1 / F.col("variance"), 8000.0, rounds=3)
+    return outliers.iterative_outliers(m, ["key"], F.col("intensity"), F.col("scale"), 1 / F.col("variance"), 8000.0)
 
 
 @query(f"{M}, t AS (SELECT key, sum(intensity / variance) / sum(1 / variance) AS g, 1 / sum(1 / variance) AS v FROM m WHERE id < 5 GROUP BY key) SELECT row_id, round(abs(intensity - g) / sqrt(variance + v), 3) AS z FROM m JOIN t USING (key) WHERE id >= 5 AND g <> 0 AND abs(intensity - g) / sqrt(variance + v) > 5000")

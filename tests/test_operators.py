@@ -1,11 +1,14 @@
 """Small vectors for the table operators."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import binning, shoebox
 from tessera.functions.flags import FLAGS, FlagExpression, has_flags
 from tessera.operators import graph, groups, joins, outliers, table
+from tessera.plans import queries as plans
 from tessera.sources import formats
 from tessera.streaming import events
 
@@ -106,6 +109,38 @@ def test_outliers_and_ranks(spark):
     assert outliers.spearman(r, ["g"], "x", "y").first().rho == pytest.approx(1 - 6 * 0.5 / 60)
 
 
+def test_outliers_until_none_is_left(spark):
+    """A group that takes more than 20 rounds, and the registered query, against removing the worst row one by one."""
+
+    def brute(groups, zmax):
+        out = set()
+        for rows in groups.values():
+            while len(rows) > 2:
+                top, below = sum(v * g * w for _, v, g, w in rows), sum(g * g * w for _, _, g, w in rows)
+                scored = []
+                for i, v, g, w in rows:
+                    t, b = top - v * g * w, below - g * g * w
+                    scored.append((-abs(v - g * t / b) / math.sqrt(1 / w + g * g / b), i))
+                worst = min(scored)
+                if -worst[0] <= zmax:
+                    break
+                out.add(worst[1])
+                rows = [r for r in rows if r[0] != worst[1]]
+        return out
+
+    rows = [(k, 0, float(2**k), 1.0, 1.0) for k in range(30)]
+    df = frame(spark, rows, "row_id long, key int, v double, g double, w double")
+    want = brute({0: [(i, v, g, w) for i, _, v, g, w in rows]}, 5.0)
+    assert len(want) > 20
+    assert {r.row_id for r in outliers.iterative_outliers(df, ["key"], F.col("v"), F.col("g"), F.col("w"), 5.0).collect()} == want
+
+    kept = {}
+    for r in plans.measurements(spark, "/root/testdata/sf0.001").select("row_id", "key", "intensity", "scale", "variance").collect():
+        kept.setdefault(r.key, []).append((r.row_id, r.intensity, r.scale, 1 / r.variance))
+    got = [r.row_id for r in plans.iterative_outliers(spark, "/root/testdata/sf0.001").collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(kept, 8000.0)
+
+
 def test_components(spark):
     nodes = spark.range(12).withColumnRenamed("id", "node")
     edges = frame(spark, [(11, 9), (9, 7), (7, 5), (5, 3), (0, 2), (2, 0), (4, 4)], "i long, j long")
