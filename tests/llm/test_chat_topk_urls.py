@@ -96,3 +96,67 @@ def test_url_rules_and_models(spark):
     assert by[5].verdict == by[7].verdict == "allow" and by[5].score is None
     assert [by[len(rows) - 2].verdict, by[len(rows) - 1].verdict] == ["block", "allow"]
     assert urls.judge_urls(spark.createDataFrame([], "page_id long, url string"), RULES).count() == 0
+
+
+def brute_scores(rows):
+    """ln P(accepted) - ln P(rejected) per character of each (host, path, rejected), by all models and by those without its fold."""
+    import re
+    import zlib
+
+    split = [(zlib.crc32(h.encode()) % urls.FOLDS, re.findall(r"[^/.\-_?&=]{0,63}[/.\-_?&=]|[^/.\-_?&=]{1,64}", h + p), bad) for h, p, bad in rows]
+
+    def model(skip, bad):
+        n, t = {}, {}
+        for f, pieces, b in split:
+            if f != skip and b == bad:
+                for piece in pieces:
+                    m = "\x02" + piece
+                    for i in range(1, len(m)):
+                        for o in range(min(urls.ORDER, i) + 1):
+                            g = m[i - o : i + 1]
+                            n[g] = n.get(g, 0) + 1
+                            t[g[:-1]] = t.get(g[:-1], 0) + 1
+        return n, t
+
+    def score(pieces, models):
+        total = chars = 0
+        for piece in pieces:
+            m = "\x02" + piece
+            for i in range(1, len(m)):
+                chars += 1
+                for sign, (n, t) in zip((1, -1), models, strict=True):
+                    p = urls.FLOOR
+                    for o in range(min(urls.ORDER, i) + 1):
+                        g = m[i - o : i + 1]
+                        p = (n.get(g, 0) + urls.BACKOFF * p) / (t.get(g[:-1], 0) + urls.BACKOFF)
+                    total += sign * math.log(p)
+        return total / chars if chars else None
+
+    by = {skip: (model(skip, False), model(skip, True)) for skip in [*range(urls.FOLDS), None]}
+    return [(score(pieces, by[None]), score(pieces, by[f])) for f, pieces, _ in split]
+
+
+def test_url_scores_equal_brute_force(spark):
+    rng = random.Random(12)
+    made = [f"http://{rng.choice(['www', 'm', 'b-log'])}.{rng.choice(['gar', 'spam', 'den', 'bets', 'é', 'pills'])}.{rng.choice(['net', 'org'])}/{rng.choice(['a', 'b_c', ''])}/{rng.randint(0, 30)}?q" for _ in range(150)]
+    given = [*made, made[0], "http://" + "ab." * 30_000 + "com/" + "x" * 200_000, None, "", "none", "http://x", "http:///only/path"]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(given)], "page_id long, url string")
+    tie = [urls.Rule("allow", "x", "/a/"), urls.Rule("block", "x/", "a/"), urls.Rule("allow", "gar.net", "/a"), urls.Rule("block", "den.net", "/a")]
+    got = {r.page_id: r for r in urls.judge_urls(df, tie).collect()}
+    kind = __import__("re").compile(urls.REJECTED_HOSTS)
+    order = sorted(got)
+    rows = [(got[i].host, got[i].path, bool(kind.search(got[i].host))) for i in order]
+    assert len(order) == len(given) and 10 < sum(b for *_, b in rows) < 140
+    for i, (h, p, bad), (full, apart) in zip(order, rows, brute_scores(rows), strict=True):
+        if not h + p:
+            assert got[i].score is got[i].held_out_score is None and got[i].verdict == "allow"
+        else:
+            assert got[i].held_out_score == pytest.approx(apart, abs=1e-7)
+            assert got[i].score == pytest.approx(full if bad else apart, abs=1e-7)
+    assert got[0].score == got[150].score
+    free = [r for r in got.values() if r.rule is None and r.score is not None]
+    assert max([r.score for r in free if r.verdict == "block"], default=-99) < min(r.score for r in free if r.verdict == "allow")
+    # examples of one's own: nothing in the hosts' words tells which are rejected
+    examples = spark.createDataFrame([(f"http://h{i}.{'qq' if i % 2 else 'zz'}.net/1", bool(i % 2)) for i in range(40)], "url string, rejected boolean")
+    fresh = spark.createDataFrame([(1, "http://new.qq.net/1"), (2, "http://new.zz.net/1")], "page_id long, url string")
+    assert {r.page_id: r.verdict for r in urls.judge_urls(fresh, [], examples=examples).collect()} == {1: "block", 2: "allow"}
