@@ -5,6 +5,7 @@ from __future__ import annotations
 import heapq
 import json
 import re
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -56,6 +57,39 @@ def count_after_merges(symbols: list[str], ranks: dict[tuple[str, str], int]) ->
     return n - merges
 
 
+@cache
+def stand_ins(path: str) -> dict[int, str]:
+    """Code points that the vocabulary's library puts into another class than the pattern's engine, which knows another
+    version of Unicode: each with a character of the library's class (letter, number, white space or other).
+
+    Runs of characters of one class are one pre-token of the library; those that aren't are halved until it is told which
+    characters differ.
+    """
+    import regex
+    from tokenizers import Tokenizer
+
+    cut = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
+    edges = {r"\p{L}": "a", r"\p{N}": "9", r"[^\s\p{L}\p{N}]": "!", r"\s": "\n"}
+
+    def strange(run: str, edge: str):
+        if len(cut(edge + run + edge)) > 1:
+            if len(run) == 1:
+                yield run
+            else:
+                for half in (run[: len(run) // 2], run[len(run) // 2 :]):
+                    yield from strange(half, edge)
+
+    found = {}
+    every = [*range(0xD800), *range(0xE000, 0x110000)]
+    for at in range(0, len(every), 4096):
+        chunk = "".join(map(chr, every[at : at + 4096]))
+        for kind, edge in edges.items():
+            if run := "".join(regex.findall(kind, chunk)):
+                for c in strange(run, edge):
+                    found[ord(c)] = next((e for e in "a9!" if len(cut(e + c + e)) == 1), "\n")
+    return found
+
+
 class _Memo(dict):
     def __init__(self, make):
         self.make = make
@@ -68,9 +102,12 @@ class _Memo(dict):
 
 
 class Counter:
-    """Counts tokens as the vocabulary file's library does; no identifiers are made."""
+    """Counts tokens as the vocabulary file's library does; no identifiers are made.
+
+    Texts with one of the code points of ``odd`` (see ``stand_ins``) are cut where their stand-ins are.
+    """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, odd: dict[int, str]):
         import regex
 
         with open(path, encoding="utf-8") as f:
@@ -78,7 +115,10 @@ class Counter:
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
         self.ranks = {p: r for r, p in enumerate(pairs)}
         self.letters = byte_letters()
-        self.find = regex.compile(PATTERN).findall
+        pattern = regex.compile(PATTERN)
+        self.find, self.places = pattern.findall, pattern.finditer
+        self.odd, self.odd_letters = odd, frozenset(map(chr, odd))
+        self.far = re.compile(f"[{re.escape(chr(min(odd)))}-\U0010ffff]").search if odd else None
         special = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
         self.odd_space = re.compile(r"[^\S \n]").search
@@ -94,6 +134,8 @@ class Counter:
 
     def plain(self, text: str) -> int:
         """Tokens of a text without special strings."""
+        if self.far is not None and self.far(text) and not self.odd_letters.isdisjoint(text):
+            return sum(self._pre(text[slice(*m.span())]) for m in self.places(text.translate(self.odd)))
         if self.odd_space(text):
             return self._piece(text)
         total = -1
@@ -116,9 +158,9 @@ class Counter:
 _COUNTERS: dict[str, Counter] = {}
 
 
-def _count(batches, path: str):
+def _count(batches, path: str, odd):
     if path not in _COUNTERS:
-        _COUNTERS[path] = Counter(path)
+        _COUNTERS[path] = Counter(path, odd.value)
     count = _COUNTERS[path].count
     for batch in batches:
         n = pa.array(map(count, batch.column(2).to_pylist()), type=pa.int64())
@@ -134,4 +176,5 @@ def count_tokens(docs: DataFrame, vocabulary_path: str, *, doc_id: str = "doc_id
     """
     whole = text_or_empty(text)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.octet_length(whole).cast("long").alias("n_bytes"), whole.alias("text"))
-    return rows.mapInArrow(lambda it: _count(it, vocabulary_path), "doc_id long, n_bytes long, n_tokens long")
+    odd = docs.sparkSession.sparkContext.broadcast(stand_ins(vocabulary_path))  # of code points: the same for every table
+    return rows.mapInArrow(lambda it: _count(it, vocabulary_path, odd), "doc_id long, n_bytes long, n_tokens long")

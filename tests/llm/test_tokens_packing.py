@@ -29,6 +29,31 @@ def test_counts_equal_the_library(spark):
     assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_bytes, r.n_tokens) for r in got) == want
 
 
+def test_every_code_point_counts_as_in_the_library():
+    file = path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(file)
+    counter = tokens.Counter(file, tokens.stand_ins(file))
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF]
+    texts = [f"a{c}'s 9{c}" for c in every]
+    for at in range(0, len(texts), 50_000):
+        part = texts[at : at + 50_000]
+        wrong = [x for x, e in zip(part, t.encode_batch(part, add_special_tokens=False), strict=True) if counter.count(x) != len(e.ids)]
+        assert not wrong
+    rng = random.Random(7)
+    odd = sorted(counter.odd_letters)
+    for _ in range(3000):
+        x = "".join(rng.choice([rng.choice(odd), rng.choice(odd), "a", " ", "9", "'s", "!", "\n", "é"]) for _ in range(rng.randint(1, 25)))
+        assert counter.count(x) == len(t.encode(x, add_special_tokens=False).ids)
+
+
+def test_long_texts(spark):
+    t = Tokenizer.from_file(path("byte_bpe_50k.json"))
+    texts = ["ab" * 60_000, "word " * 100_000, "日本" * 20_000, " " * 50_000, "\n" * 50_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.n_tokens for r in tokens.count_tokens(df, path("byte_bpe_50k.json")).collect()}
+    assert got == {i: len(t.encode(x, add_special_tokens=False).ids) for i, x in enumerate(texts)}
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert tokens.count_tokens(empty, path("byte_bpe_50k.json")).count() == 0
