@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -67,3 +67,10 @@ def unique_name(wanted: str, taken) -> str:
 def text_or_empty(col: str):
     """A text column with null as the empty text."""
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
+
+
+def salted_join(rows: DataFrame, few: DataFrame, on: list[str], by: Column, how: str = "inner", salts: int = 16) -> DataFrame:
+    """rows joined with few, whose keys are distinct: each of few's rows goes to so many places, and the rows of a frequent key are dealt over them by ``by``."""
+    salt = unique_name("salt", [*rows.columns, *few.columns])
+    copies = few.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.withColumn(salt, F.pmod(F.xxhash64(by), F.lit(salts)).cast("int")).join(copies, [*on, salt], how).drop(salt)

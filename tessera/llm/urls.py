@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, salted_join
 
 #: Characters of the longest context, and of the longest piece.
 ORDER, PIECE = 4, 64
@@ -26,8 +26,6 @@ ORDER, PIECE = 4, 64
 BACKOFF, FLOOR = 4.0, 1 / 256
 #: Hosts are dealt to so many folds; a URL is calibrated by models that saw none of its fold.
 FOLDS = 4
-#: Ways in which the rows of one piece or n-gram are dealt in joins, so that a frequent one isn't one task's.
-SALTS = 16
 #: Steps of the threshold, in nats per character.
 STEP = 0.005
 #: Hosts that teach what a rejected URL looks like where no examples are given (fixed values): whole words of labels.
@@ -132,12 +130,6 @@ def log_ratios(pieces: DataFrame, keep: Scratch) -> DataFrame:
     return whole.select("gram", F.zip_with("pa", "pr", lambda a, r: F.ln(a) - F.ln(r)).alias("ratio"))
 
 
-def _salted_join(rows: DataFrame, small: DataFrame, on: str, by: Column) -> DataFrame:
-    """Inner join in which each of small's rows meets its partners in SALTS places."""
-    copies = small.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).join(copies, [on, "salt"]).drop("salt")
-
-
 def threshold(scored: DataFrame) -> float | None:
     """The score that parts accepted from rejected examples best: least sum of both error shares, the middle of equal ones.
 
@@ -204,11 +196,11 @@ def judge_urls(
     pieces = taught.select(*(c.alias(n) for n, c in counts.items()), F.explode(pieces_of(F.col("whole"))).alias("piece"))
     pieces = keep.write(pieces.groupBy("piece").agg(*_sums()))
     ratios = log_ratios(pieces, keep)
-    seen = _salted_join(pieces.select("piece", F.explode(windows_of(F.col("piece"))).alias("gram")), ratios, "gram", F.col("piece"))
+    seen = salted_join(pieces.select("piece", F.explode(windows_of(F.col("piece"))).alias("gram")), ratios, ["gram"], F.col("piece"))
     sums = [F.sum(F.col("ratio")[k]).alias(f"s{k}") for k in range(FOLDS + 1)]
     each = keep.write(seen.groupBy("piece").agg(*sums, F.count("*").alias("n")))
     rows = judged if examples is None else judged_and_given
-    met = _salted_join(rows.select("row", F.explode(pieces_of(F.col("whole"))).alias("piece")), each, "piece", F.col("row"))
+    met = salted_join(rows.select("row", F.explode(pieces_of(F.col("whole"))).alias("piece")), each, ["piece"], F.col("row"))
     total = met.groupBy("row").agg(*((F.sum(f"s{k}") / F.sum("n")).alias(f"s{k}") for k in range(FOLDS + 1)))
     apart = F.when(F.col("rejected").isNotNull(), F.element_at(F.array(*(F.col(f"s{k}") for k in range(FOLDS))), F.col("fold") + 1))
     scored = rows.join(total, "row", "left").withColumns({"full": F.round(f"s{FOLDS}", 9), "held_out_score": F.round(apart, 9)})

@@ -140,6 +140,35 @@ def test_surrogates_stay_distinct(spark):
     assert len(set(got)) == len(rows) and not set(got) & {t for _, t in rows}
 
 
+def test_names_keep_persons(spark):
+    texts = [
+        "Mrs Anna Kowalska came. Mrs Kowalska left. Dr Anna Kowalska and Anna Kowalska; MRS KOWALSKA Mrs KOWALSKA.",
+        "Mrs Anna Nowak and Mr Jan Kowalska, Κυρία Ελένη Παππά, Dr Zzyx Nowak",
+        "order 4111111111111112 is no card, 4111111111111111 is one",
+        "the Anna of Paul, Paula",
+    ]
+    got = {r.doc_id: (r.text, r.n_entities) for r in pii.replace_pii(frame(spark, list(enumerate(texts))), key="k").collect()}
+    m = re.fullmatch(r"Mrs (\w+) (\w+) came\. Mrs (\w+) left\. Dr (\w+) (\w+) and (\w+) (\w+); MRS KOWALSKA Mrs (\w+)\.", got[0][0])
+    assert m[1] == m[4] == m[6] != "Anna" and m[2] == m[3] == m[5] == m[7] == m[8].capitalize() != "Kowalska" and m[8].isupper()
+    n = re.fullmatch(r"Mrs (\w+) (\w+) and Mr (\w+) (\w+), Κυρία ([Ά-ώ]+) ([Ά-ώ]+), Dr (\w+) (\w+)", got[1][0])
+    assert n[1] == m[1] and n[4] == m[2] and n[8] == n[2] != m[2] and n[3] in pii.GIVEN["latin", "m"] and n[5] in pii.GIVEN["greek", "f"]
+    assert got[2][0].startswith("order 4111111111111112 is no card, ") and "4111111111111111" not in got[2][0] and got[2][1] == 1
+    assert got[3] == (texts[3], 0)
+
+
+def test_crowded_formats_and_long_texts(spark):
+    rows = [(i, f"ip {i // 1000}.{i // 100 % 10}.{i // 10 % 10}.{i % 10}") for i in range(10_000)]
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows += [(10_000 + i, f"Mr X{letters[i // 17576 % 26]}{letters[i // 676 % 26]}{letters[i // 26 % 26]}{letters[i % 26]}") for i in range(70_000)]
+    rows += [(90_000, "a@" + "b." * 1_000_000 + "com end"), (90_001, "x " * 500_000 + "1.2.3.4"), (90_002, "1" * 1_000_000), (90_003, "+1 " * 300_000)]
+    got = {r.doc_id: r.text for r in pii.replace_pii(frame(spark, rows), key="k").collect()}
+    assert len(got) == len(rows)
+    short = [got[i] for i, _ in rows[:80_000]]
+    assert len(set(short)) == 80_000 and not set(short) & {t for _, t in rows}
+    assert re.fullmatch(r"[a-z]@([a-z]\.){1000000}com end", got[90_000]) and got[90_001].startswith("x x ") and "1.2.3.4" not in got[90_001]
+    assert got[90_002] == "1" * 1_000_000
+
+
 # decontamination
 
 
