@@ -3,7 +3,10 @@
 Each block of candidates keeps one sorted list per dimension. A query reads every list from the end where its own
 component makes the scores large, so after each step the values still unread are bounded by the last one read. That
 gives each candidate a lower and an upper bound; candidates whose upper bound lies under the k-th lower bound are out,
-and once few are left their scores are resolved. Bounds of all queries of a block come from four matrix products.
+and once few are left their scores are resolved. Bounds of all queries of a block come from matrix products.
+
+On dense vectors that point everywhere no bound tells before the lists are nearly read; so at each step some queries go
+first, and if none of them has few candidates left the others read on without bounds. Where lists end all scores are known.
 """
 
 from __future__ import annotations
@@ -13,8 +16,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Query packs up to this many are broadcast: pack_rows * dimensions * 8 bytes each, 0.5 MB at 1024 x 64.
-BROADCAST_PACKS = 16
+from .common import Scratch
+
+#: Queries that try a step's bounds first.
+FIRST = 32
 
 
 def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -26,39 +31,55 @@ def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def nra(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int, steps=(0.25, 0.5, 1.0)):
-    """(query number, row number, score) of at least each query's k best rows, its own id left out."""
+    """(query number, row number, score) of at least each query's k best rows, its own id left out, and the share of its lists that each query read."""
     n = len(rows)
     order = np.sort(rows, axis=0)
     rank = np.empty_like(rows)
     np.put_along_axis(rank, np.argsort(rows, axis=0, kind="stable"), np.broadcast_to(np.arange(n)[:, None], rows.shape), axis=0)
-    open_ = np.arange(len(queries))
-    own = ids[None, :] == query_ids[:, None]
+    read = np.ones(len(queries))
     found = []
-    for step in steps:
-        depth = min(n, max(k + 1, int(np.ceil(n * step))))
-        up, down = np.maximum(queries[open_], 0), np.minimum(queries[open_], 0)
-        if depth == n:
-            low = high = _product(queries[open_], rows)
-        else:
-            top, bottom = rank >= n - depth, rank < depth  # what has been read from either end
-            low = _product(up, np.where(top, rows, order[0])) + _product(down, np.where(bottom, rows, order[-1]))
-            high = _product(up, np.where(top, rows, order[n - depth])) + _product(down, np.where(bottom, rows, order[depth - 1]))
-        low = np.where(own[open_], -np.inf if low.dtype == float else np.iinfo(np.int64).min, low)
-        kth = -np.partition(-low, k, axis=1)[:, k - 1] if n > k else low.min(axis=1)
-        left = (high >= kth[:, None]) & ~own[open_]
-        few = (left.sum(axis=1) <= max(8 * k, n // 32)) | (depth == n)
+
+    def resolved(q: int, at_rows: np.ndarray, scores: np.ndarray) -> None:
+        best = np.lexsort((ids[at_rows], -scores))[:k]
+        found.append((np.full(len(best), q), at_rows[best], scores[best].astype(np.int64)))
+
+    def stopped(asking: np.ndarray, depth: int) -> np.ndarray:
+        """Which of these queries have few candidates left once so many rows of each list are read; those are resolved."""
+        up, down = np.maximum(queries[asking], 0), np.minimum(queries[asking], 0)
+        top, bottom = rank >= n - depth, rank < depth  # what has been read from either end
+        low = _product(up, np.where(top, rows, order[0])) + _product(down, np.where(bottom, rows, order[-1]))
+        high = _product(up, np.where(top, rows, order[n - depth])) + _product(down, np.where(bottom, rows, order[depth - 1]))
+        own = ids[None, :] == query_ids[asking][:, None]
+        low = np.where(own, -np.inf if low.dtype == float else np.iinfo(np.int64).min, low)
+        kth = -np.partition(-low, k, axis=1)[:, k - 1]
+        left = (high >= kth[:, None]) & ~own
+        few = left.sum(axis=1) <= max(8 * k, n // 32)
         for at in np.flatnonzero(few):
-            q = open_[at]
-            at_rows = np.flatnonzero(left[at])
-            scores = low[at, at_rows] if depth == n else _product(queries[q : q + 1], rows[at_rows])[0]
-            best = np.lexsort((ids[at_rows], -scores))[:k]
-            found.append((np.full(len(best), q), at_rows[best], scores[best].astype(np.int64)))
-        open_ = open_[~few]
-        if not len(open_):
+            at_rows, q = np.flatnonzero(left[at]), asking[at]
+            resolved(q, at_rows, _product(queries[q : q + 1], rows[at_rows])[0])
+            read[q] = depth / n
+        return few
+
+    open_ = np.arange(len(queries))
+    for step in steps:
+        depth = max(k + 1, int(np.ceil(n * step)))
+        if depth >= n or not len(open_):
             break
+        few = stopped(open_[:FIRST], depth)
+        if few.any():
+            few = np.concatenate([few, stopped(open_[FIRST:], depth)]) if len(open_) > FIRST else few
+            open_ = open_[~few]
+    if len(open_):  # their lists are read to the end
+        scores = _product(queries[open_], rows)
+        for at, q in enumerate(open_):
+            other = np.flatnonzero(ids != query_ids[q])
+            if len(other) > k:
+                known = scores[at, other]
+                other = other[known >= -np.partition(-known, k - 1)[k - 1]]
+            resolved(q, other, scores[at, other])
     if not found:
-        return (np.zeros(0, np.int64),) * 3
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+        return (*((np.zeros(0, np.int64),) * 3), read)
+    return (*(np.concatenate(x) for x in zip(*found, strict=True)), read)
 
 
 def _matrix(vectors) -> np.ndarray:
@@ -95,13 +116,21 @@ def _unpack(ids: bytes, dims: int, vectors: bytes, wide: int) -> tuple[np.ndarra
 
 
 def _search(frames, k: int):
+    """Each pack of queries against the blocks of its slot, which come before it in the stream."""
+    slot, blocks = None, []
     for frame in frames:
         for r in frame.itertuples(index=False):
-            wide = max(r.dims, r.q_dims)
-            q_ids, q = _unpack(r.q_ids, r.q_dims, r.q_vectors, wide)
-            ids, rows = _unpack(r.ids, r.dims, r.vectors, wide)
-            at, to, scores = nra(q, q_ids, rows, ids, k)
-            yield pd.DataFrame({"query_id": q_ids[at], "vec_id": ids[to], "score": scores})
+            if r.slot != slot:
+                slot, blocks = r.slot, []
+            if r.kind == 0:
+                blocks.append((r.ids, r.dims, r.vectors))
+                continue
+            for block in blocks:
+                wide = max(r.dims, block[1])
+                q_ids, q = _unpack(r.ids, r.dims, r.vectors, wide)
+                ids, rows = _unpack(*block, wide)
+                at, to, scores, _ = nra(q, q_ids, rows, ids, k)
+                yield pd.DataFrame({"query_id": q_ids[at], "vec_id": ids[to], "score": scores})
 
 
 def quantised(rows: DataFrame, vec_id: str, embedding: str, scale: int) -> DataFrame:
@@ -131,29 +160,21 @@ def top_k(
     Queries are the rows where ``is_query`` (a condition on the table) holds; candidates all rows but those of the
     query's own id. Vectors that are null, or hold null or non-finite components, take no part; a shorter vector counts
     as zero beyond its end. Repeated rows of a candidate each count; of a query's repeated rows the first by value asks.
-    Scores must fit 64-bit integers. An empty table, or one without queries, gives no row. Queries go in packs against blocks of candidates, either of
-    fixed size, so memory holds one of each; only k rows a pack's query and block leave the search.
+    Scores must fit 64-bit integers. An empty table, or one without queries, gives no row. Candidates go in blocks of
+    ``block_rows``, each sent to one slot; every pack of ``pack_rows`` queries goes to every slot. So candidates are
+    shuffled once, queries once per block, memory holds a slot's blocks and one pack, and only k rows a query and block
+    leave the search. A slot has one block, or a few by the chance of hashing.
     """
+    keep = Scratch(rows.sparkSession, "topk")
     all_rows = quantised(rows, vec_id, embedding, scale)
     asked = quantised(rows.where(is_query), vec_id, embedding, scale).groupBy("id").agg(F.min("v").alias("v"))
-    packs = max(1, -(-asked.count() // pack_rows))
     pack_type = "ids binary, dims int, vectors binary"
-    q = (
-        asked.withColumn("pack", F.pmod(F.xxhash64("id"), F.lit(packs)).cast("int"))
-        .groupBy("pack")
-        .applyInPandas(lambda f: pd.DataFrame({"pack": [f["pack"].iloc[0]], **{c: x for c, x in next(_packs([f.sort_values("id")], len(f))).items()}}), f"pack int, {pack_type}")
-        .select("pack", *(F.col(c).alias(f"q_{c}") for c in ("ids", "dims", "vectors")))
-    )
-    blocks = all_rows.mapInPandas(lambda it: _packs(it, block_rows), pack_type)
-    dealt = blocks.withColumn("pack", F.explode(F.sequence(F.lit(0), F.lit(packs - 1))))
-    if packs <= BROADCAST_PACKS:
-        pairs = dealt.join(F.broadcast(q), "pack")
-    else:  # more packs than tasks: each pack meets its blocks in tasks of its own, salted
-        salts = 16
-        salted = q.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        pairs = dealt.withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(salts)).cast("int")).join(salted, ["pack", "salt"])
-    found = pairs.select("ids", "dims", "vectors", "q_ids", "q_dims", "q_vectors").mapInPandas(
-        lambda it: _search(it, k), "query_id long, vec_id long, score long"
-    )
+    blocks = keep.write(all_rows.mapInPandas(lambda it: _packs(it, block_rows), pack_type).withColumn("number", F.monotonically_increasing_id()))
+    slots = max(1, blocks.count())
+    blocks = blocks.select(F.pmod(F.xxhash64("number"), F.lit(slots)).alias("slot"), F.lit(0).alias("kind"), "ids", "dims", "vectors")
+    packs = asked.mapInPandas(lambda it: _packs(it, pack_rows), pack_type)
+    packs = packs.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slots - 1).cast("long"))).alias("slot"), F.lit(1).alias("kind"), "ids", "dims", "vectors")
+    dealt = blocks.unionByName(packs).repartition("slot").sortWithinPartitions("slot", "kind")
+    found = dealt.mapInPandas(lambda it: _search(it, k), "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -63,8 +63,26 @@ def test_nra_stops_before_the_end():
 
     rows = np.zeros((4000, 3), dtype=np.int64)
     rows[:40] = 1000 - np.arange(40)[:, None]
-    q, r, s = topk.nra(np.array([[1, 1, 1]]), np.array([-1]), rows, np.arange(4000), 5, steps=(0.05, 1.0))
-    assert list(r) == [0, 1, 2, 3, 4] and list(s) == [3000, 2997, 2994, 2991, 2988]
+    q, r, s, read = topk.nra(np.array([[1, 1, 1]]), np.array([-1]), rows, np.arange(4000), 5, steps=(0.05, 1.0))
+    assert list(r) == [0, 1, 2, 3, 4] and list(s) == [3000, 2997, 2994, 2991, 2988] and list(read) == [0.05]
+
+
+def test_nra_with_few_and_many_stopping_queries():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for n in (1, 5, 12, 600):
+        rows = (rng.standard_exponential((n, 4)) ** 4 * 100).astype(np.int64)
+        queries = rng.integers(-3, 9, (90, 4))
+        ids = np.arange(n)
+        at, to, scores, read = topk.nra(queries, np.arange(90), rows, ids, 10)
+        for q in range(90):
+            best = sorted((-int(rows[i] @ queries[q]), i) for i in range(n) if i != q)[:10]
+            got = sorted((-int(x), int(i)) for a, i, x in zip(at, to, scores, strict=True) if a == q)
+            assert got[:10] == best or [g[0] for g in got[:10]] == [b[0] for b in best]
+            assert set(best) <= set(got)
+        if n == 600:
+            assert (read < 1).mean() > 0.5
 
 
 RULES = [urls.Rule("block", "com", "/en/"), urls.Rule("allow", "example.com", "/en/7"), urls.Rule("block", "org", "/es/")]

@@ -303,6 +303,46 @@ def test_quality_on_held_out(spark):
     assert quality.score(docs.limit(0), model).count() == 0
 
 
+def test_votes_equal_brute_force():
+    rng = random.Random(5)
+    texts = [" ".join(words(rng, rng.randint(1, 60), rng.choice("ab"))) for _ in range(60)]
+    texts += [texts[0], texts[0].upper(), "x", "X9!", "", "   "]
+    sparse = [quality.terms_of(t) for t in texts]
+    basis = quality.right_singular_vectors(sparse[:60], 6)
+    assert np.allclose(basis.T @ basis, np.eye(6), atol=1e-4)
+    basis = np.random.default_rng(2).standard_normal((quality.TERMS, 20)).astype(np.float32)  # no cosines by chance alike
+    labels = np.array([rng.randint(0, 1) for _ in range(40)] + [1, 0], dtype=float)
+    model = quality.Model(basis, np.zeros(0), labels, 0.25, neighbours=7)
+    model.vectors = model.embed([*sparse[:40], sparse[0], sparse[0]])  # ties
+    dense = []
+    for terms, values in sparse:
+        x = np.zeros(quality.TERMS)
+        x[terms] = values
+        z = x @ basis
+        dense.append(z / (np.linalg.norm(z) or 1))
+    for z, got in zip(dense, model.score(sparse), strict=True):
+        cosine = [round(float(z @ v), 6) for v in [*dense[:40], dense[0], dense[0]]]
+        near = sorted(range(42), key=lambda i: (-cosine[i], i))[:7]
+        w = [max(0, float(z @ ([*dense[:40], dense[0], dense[0]][i]))) ** 8 for i in near]
+        want = sum(a * labels[i] for a, i in zip(w, near, strict=True)) / sum(w) if sum(w) else 0.25
+        assert got == pytest.approx(want, abs=1e-3)
+    assert model.score(sparse[-2:]).tolist() == [0.25, 0.25]
+
+
+def test_latent_space_knows_words():
+    same = [quality.terms_of(t) for t in ("the cat sat on the mat", "the cat sat on a mat", "dogs bark at night often", "dogs bark at the night")]
+    basis = quality.right_singular_vectors(same, 3)
+    z = quality.Model(basis, np.zeros(0), np.zeros(0), 0.0).embed(same)
+    cosine = z @ z.T
+    assert cosine[0, 1] > cosine[0, 2] + 0.3 and cosine[2, 3] > cosine[1, 3]
+
+
+def test_sample_is_bounded(spark):
+    docs = frame(spark, [(1, f"many rows of one id {i}") for i in range(300)] + [(2, "two"), (3, "three")])
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1)], "doc_id long, quality int")
+    assert len(quality.fit(docs, labels, sample=2).labels) <= 2 and len(quality.fit(docs, labels).labels) == 3
+
+
 # the pipeline
 
 
