@@ -330,11 +330,11 @@ def test_votes_equal_brute_force():
 
 
 def test_latent_space_knows_words():
-    same = [quality.terms_of(t) for t in ("the cat sat on the mat", "the cat sat on a mat", "dogs bark at night often", "dogs bark at the night")]
+    same = [quality.terms_of(t) for t in ("alpha beta gamma delta", "alpha beta gamma other", "one two three four", "one two three five")]
     basis = quality.right_singular_vectors(same, 3)
     z = quality.Model(basis, np.zeros(0), np.zeros(0), 0.0).embed(same)
     cosine = z @ z.T
-    assert cosine[0, 1] > cosine[0, 2] + 0.3 and cosine[2, 3] > cosine[1, 3]
+    assert cosine[0, 1] > cosine[0, 2] + 0.1 and cosine[2, 3] > cosine[1, 3] + 0.1
 
 
 def test_sample_is_bounded(spark):
