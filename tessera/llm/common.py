@@ -15,22 +15,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's spark.checkpoint.dir, or a local one where it is unset."""
+    """The folder that driver and executors share: the session's spark.checkpoint.dir; where it is unset, a local one in a local session only."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if conf:
         return conf
     known = spark.sparkContext.getCheckpointDir()
     if not known:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
         known = spark.sparkContext.getCheckpointDir()
     return known
 
 
+#: Lets Spark delete a query's shuffle files when it ends: what it made is a written table then.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Scratch:
     """Written tables that cut lineage.
 
-    Each one is Parquet in the shared folder, so the loss of an executor
-    costs a reread at most. ``drop`` removes those that no later plan reads.
+    Each one is Parquet in the shared folder, so the loss of an executor costs a reread at most. ``drop`` removes those
+    that no later plan reads; what is left goes when the driver ends, as the result may read it until then.
     """
 
     def __init__(self, spark: SparkSession, name: str):
@@ -38,22 +44,36 @@ class Scratch:
         self.root = f"{shared_dir(spark)}/tessera-{name}-{uuid.uuid4().hex[:12]}"
         self.n = 0
 
+    def _path(self, path: str):
+        jvm = self.spark.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        return at, at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
     def write(self, df: DataFrame) -> DataFrame:
         """The rows of df, reread from a table."""
         path = f"{self.root}/{self.n}"
+        before = self.spark.conf.get(CLEANUP, None)
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            if before is None:
+                self.spark.conf.unset(CLEANUP)
+            else:
+                self.spark.conf.set(CLEANUP, before)
+        if not self.n:
+            root, system = self._path(self.root)
+            system.deleteOnExit(root)
         self.n += 1
-        df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.scratch_path = path
         return out
 
     def drop(self, *tables: DataFrame) -> None:
         """Deletes tables of ``write`` that nothing reads any more."""
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for t in tables:
-            path = jvm.org.apache.hadoop.fs.Path(t.scratch_path)
-            path.getFileSystem(conf).delete(path, True)
+            path, system = self._path(t.scratch_path)
+            system.delete(path, True)
 
 
 def unique_name(wanted: str, taken) -> str:

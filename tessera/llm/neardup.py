@@ -11,9 +11,11 @@ sets of similarity 0.8 share about 0.8 K of them. Collisions are counted by pref
 Candidates of T collisions or more are confirmed on the full sets. Documents with equal sets are one class throughout.
 
 No list is expanded into all its pairs at first: a round links each member with one pivot per list, the next with a
-few pivots of those lists that still hold several components. What two rounds leave is compared whole, in blocks of
-bounded size: one pass names the members that have candidates there, the next holds their full sets and returns links
-alone. So every pair of T collisions is confirmed, refuted or inside one component.
+few pivots of those lists that still hold several components. Lists longer than LONG after that, as of pages of one
+template, are dealt anew by the rarest shingles of their members, again by prefix: two sets as alike as asked share one
+of them, while members that share the template alone meet nowhere. What is left is compared whole, in blocks of bounded
+size: one pass names the members that have candidates there, the next holds their full sets and returns links alone. So
+every pair of T collisions is confirmed, refuted or inside one component.
 
 Bounds: a pair at similarity 0.8 reaches T = 16 of K = 32 collisions, and 0.62 of the 96 finer bytes, but for a few in a
 hundred thousand. Memory per task is one Arrow batch or two blocks of BLOCK sets.
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, text_or_empty, unique_name
+from .common import Scratch, salted_join, text_or_empty, unique_name
 from .components import contract
 from .shingles import full_sets, signed
 
@@ -35,8 +37,12 @@ from .shingles import full_sets, signed
 K, T, FINE = 32, 16, 96
 #: Least share of equal bytes among the FINE.
 FINE_SHARE = 0.62
-#: Signatures of a block in the last round, and pivot classes of the second.
-BLOCK, PIVOTS = 256, 4
+#: Signatures of a block in the last round, pivot classes of the second, and members of a list that is dealt anew.
+BLOCK, PIVOTS, LONG = 256, 4, 1024
+
+
+#: What names a pair of blocks.
+GROUP = ["coordinate", "token", "bi", "bj"]
 
 
 def _signed(batches, n: int):
@@ -44,7 +50,7 @@ def _signed(batches, n: int):
         sig = np.frombuffer(b.column(3).values.buffers()[1], dtype=np.int32)[: b.num_rows * (K + FINE)].reshape(-1, K + FINE)
         coarse = pa.ListArray.from_arrays(pa.array(np.arange(0, b.num_rows * K + 1, K, dtype=np.int32)), pa.array(sig[:, :K].ravel()))
         fine = pa.array([x.tobytes() for x in (sig[:, K:] & 255).astype(np.uint8)], pa.binary())
-        yield pa.RecordBatch.from_arrays([*b.columns[:3], coarse, fine], names=["doc_id", "n_shingles", "set_key", "sig", "fine"])
+        yield pa.RecordBatch.from_arrays([*b.columns[:3], coarse, fine, b.column(4)], names=["doc_id", "n_shingles", "set_key", "sig", "fine", "text_key"])
 
 
 def _alike(frames):
@@ -78,7 +84,8 @@ def _groups(frames, by: list[str]):
 def _fitting(f: pd.DataFrame, percent: int):
     """Rows of the two sides of a block pair, and which of their pairs are candidates that belong to this list.
 
-    A pair across components belongs to the list of the first coordinate that both post and share.
+    A pair across components belongs to the list of the first coordinate that both post and share; in a list of a shingle
+    (coordinate -1) each pair does.
     """
     left, right = f[f["side"] != 2], f[f["side"] != 1]
     if not len(left) or not len(right):
@@ -86,7 +93,7 @@ def _fitting(f: pd.DataFrame, percent: int):
     (la, sa, fa, na, ma), (lb, sb, fb, nb, mb) = (
         (x["label"].to_numpy(), np.stack(x["sig"].to_numpy()), _bytes(x["fine"]), x["n"].to_numpy(), x["mask"].to_numpy()) for x in (left, right)
     )
-    own = int(f["token"].iloc[0]) >> 32
+    own = int(f["coordinate"].iloc[0])
     same = np.zeros((len(left), len(right)), dtype=np.int16)
     first = np.ones(same.shape, dtype=bool)
     for j in range(K):
@@ -105,16 +112,16 @@ def _fitting(f: pd.DataFrame, percent: int):
 
 def _needed(frames, percent: int):
     """The members of each block pair that have a candidate there."""
-    for f in _groups(frames, ["token", "bi", "bj"]):
+    for f in _groups(frames, GROUP):
         if (met := _fitting(f, percent)) is not None:
             left, right, fits = met
             need = set(left["node"].to_numpy()[fits.any(axis=1)]) | set(right["node"].to_numpy()[fits.any(axis=0)])
-            yield f.loc[f["node"].isin(need), ["token", "bi", "bj", "side", "node", "label"]]
+            yield f.loc[f["node"].isin(need), [*GROUP, "side", "node", "label"]]
 
 
 def _linked(frames, percent: int):
     """Links among the candidates of each block pair, confirmed on the full sets; pairs that these links already join are skipped."""
-    for f in _groups(frames, ["token", "bi", "bj"]):
+    for f in _groups(frames, GROUP):
         if (met := _fitting(f, percent)) is None:
             continue
         left, right, fits = met
@@ -148,18 +155,23 @@ def _linked(frames, percent: int):
 
 
 class Finder:
-    """The classes of equal sets of a table, and the components of their links."""
+    """The classes of equal sets of a table, and the components of their links.
+
+    A class stands for its rows by the least of (null doc_id last, doc_id, hash of the text).
+    """
 
     def __init__(self, docs: DataFrame, doc_id: str, text: str, n: int, percent: int):
         self.percent, self.n = percent, n
         self.keep = Scratch(docs.sparkSession, "neardup")
-        self.rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_or_empty(text).cast("binary").alias("text"))
+        body = text_or_empty(text)
+        self.rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), body.cast("binary").alias("text"), F.xxhash64(body).alias("text_key"))
         self.signed = self.keep.write(
-            self.rows.mapInArrow(lambda it: _signed(it, n), "doc_id long, n_shingles long, set_key binary, sig array<int>, fine binary")
+            self.rows.mapInArrow(lambda it: _signed(it, n), "doc_id long, n_shingles long, set_key binary, sig array<int>, fine binary, text_key long")
         )
         full = self.signed.where("n_shingles > 0")
+        at = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")
         first = full.groupBy("set_key").agg(
-            F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("fine").alias("fine")
+            F.min(at).alias("at"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("fine").alias("fine")
         )
         self.classes = self.keep.write(first.withColumn("node", F.monotonically_increasing_id()))
 
@@ -173,6 +185,20 @@ class Finder:
         prefix = F.slice("shared", F.lit(1), F.size("shared") - T + 1)
         return shared.where(F.size("shared") >= T).select("node", F.explode(prefix).alias("p")).select(F.col("p.token").alias("token"), "node")
 
+    def full_sets(self) -> DataFrame:
+        """(node, shingles) of the posted classes, from one text of each."""
+        n = self.n
+        key = ["unnamed", "doc_id", "text_key"]
+        wanted = self.posted.select("at.*").withColumn("doc_id", F.coalesce("doc_id", F.lit(0)))
+        # a text without doc_id may have any number of rows: they are dealt over some places
+        salts = F.when(F.col("unnamed"), F.sequence(F.lit(0), F.lit(15))).otherwise(F.array(F.lit(0)))
+        wanted = wanted.withColumn("salt", F.explode(salts))
+        rows = self.rows.withColumns({"unnamed": F.col("doc_id").isNull(), "doc_id": F.coalesce("doc_id", F.lit(0))})
+        rows = rows.withColumn("salt", F.when(F.col("unnamed"), F.pmod(F.spark_partition_id(), F.lit(16))).otherwise(0))
+        texts = rows.join(wanted, [*key, "salt"], "left_semi").select("text")
+        found = texts.mapInArrow(lambda it: full_sets(it, n), "set_key binary, shingles array<long>")
+        return found.join(self.posted.select("node", "set_key"), "set_key").select("node", "shingles").dropDuplicates(["node"])
+
     def confirmed(self, pairs: DataFrame) -> DataFrame:
         """Those pairs (a, b) of candidates whose full sets are as alike as asked."""
         sets = [self.sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}")) for x in ("a", "b")]
@@ -197,14 +223,32 @@ class Finder:
         met = lists.join(pivot, "token").where("label <> pivot_label")
         return met.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
 
-    def open_lists(self, postings: DataFrame, labels: DataFrame) -> DataFrame:
-        """(token, node, label) of the lists that hold several components."""
-        met = self.keep.write(postings.join(labels, "node"))
-        several = met.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
-        return met.join(self.keep.write(several.select("token", "size")), "token")
+    def several(self, met: DataFrame) -> DataFrame:
+        """(token, node, label, size) of the lists of a written table that hold several components."""
+        some = met.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
+        return met.join(self.keep.write(some.select("token", "size")), "token")
+
+    def by_shingle(self, lists: DataFrame) -> DataFrame:
+        """Lists by shingle in place of long ones: each member under the rarest shingles of its set, as many as leave too few others.
+
+        Of a set of n shingles a partner holds percent * n / 100 at least, so among its rarest n less that, and one, is a
+        shared one, in any order that all sets follow. Shingles that one member alone has come first and are posted nowhere.
+        """
+        members = self.keep.write(lists.select("node", "label").distinct())
+        each = members.join(self.sets, "node").select("node", "label", F.size("shingles").alias("n"), F.explode("shingles").alias("token"))
+        often = self.keep.write(each.groupBy("token").agg(F.count("*").alias("often")).where("often > 1"))
+        met = salted_join(each, often, ["token"], F.col("node"))
+        shared = met.groupBy("node").agg(F.first("label").alias("label"), F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("often", "token"))).alias("shared"))
+        n_posted = (F.size("shared") - F.ceil(F.col("n") * self.percent / 100) + 1).cast("int")
+        prefix = F.slice("shared", F.lit(1), F.greatest(n_posted, F.lit(0)))
+        return self.several(self.keep.write(shared.select("node", "label", F.explode(prefix).alias("p")).select("p.token", "node", "label")))
 
     def in_blocks(self, lists: DataFrame) -> DataFrame:
-        """Links (a, b) between different components that join all which any link joins, from whole lists in blocks."""
+        """Links (a, b) between different components that join all which any link joins, from whole lists in blocks.
+
+        ``lists`` has (coordinate, token, node, label, size). Work goes with the pairs compared, not with the bytes, so
+        the number of tasks is fixed and not left to their size.
+        """
         signs = ("sig", "fine", "n", "mask")
         met = lists.join(self.posted.select("node", *signs), "node")
         blocks = F.ceil(F.col("size") / BLOCK).cast("int")
@@ -212,43 +256,49 @@ class Finder:
         met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
         met = met.withColumns({"bi": F.least("own", "other"), "bj": F.greatest("own", "other"), "side": side})
-        group, percent = ["token", "bi", "bj"], self.percent
-        dealt = met.select(*group, "side", "node", "label", *signs).repartition(*group).sortWithinPartitions(*group)
-        needed = self.keep.write(dealt.mapInPandas(lambda it: _needed(it, percent), "token long, bi int, bj int, side int, node long, label long"))
+        spark, percent = lists.sparkSession, self.percent
+        tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+
+        def dealt(rows: DataFrame) -> DataFrame:
+            return rows.repartition(tasks, *GROUP).sortWithinPartitions(*GROUP)
+
+        compared = dealt(met.select(*GROUP, "side", "node", "label", *signs))
+        needed = self.keep.write(compared.mapInPandas(lambda it: _needed(it, percent), "coordinate int, token long, bi int, bj int, side int, node long, label long"))
         full = needed.join(self.posted.select("node", *signs), "node").join(self.sets, "node")
-        return full.repartition(*group).sortWithinPartitions(*group).mapInPandas(lambda it: _linked(it, percent), "a long, b long")
+        return dealt(full).mapInPandas(lambda it: _linked(it, percent), "a long, b long")
 
     def components(self) -> DataFrame:
         """(node, label) of the posted classes; every other class stands alone."""
         keep = self.keep
-        gc = self.signed.sparkSession.sparkContext._jvm.System.gc  # lets Spark delete the shuffles of finished steps
         postings = keep.write(self.postings())
-        gc()
         bit = F.expr("shiftleft(1L, cast(shiftright(token, 32) as int))")
         nodes = postings.groupBy("node").agg(F.bit_or(bit).alias("mask"))
-        self.posted = keep.write(self.classes.join(nodes, "node").select("node", "set_key", "doc", "sig", "fine", "n", "mask"))
-        n = self.n
-        wanted = self.posted.select(F.col("doc").alias("doc_id")).distinct().hint("merge")  # one plan at every size
-        texts = self.rows.join(wanted, "doc_id", "left_semi").select("text")
-        found = texts.mapInArrow(lambda it: full_sets(it, n), "set_key binary, shingles array<long>")
-        self.sets = keep.write(found.join(self.posted.select("node", "set_key"), "set_key").select("node", "shingles").dropDuplicates(["node"]))
-        gc()
+        self.posted = keep.write(self.classes.join(nodes, "node").select("node", "set_key", "at", "sig", "fine", "n", "mask"))
+        self.sets = keep.write(self.full_sets())
         labels = keep.write(self.posted.select("node", F.col("node").alias("label")))
         for pivots in (1, PIVOTS, 0):
-            lists = keep.write(self.open_lists(postings, labels))
+            met = keep.write(postings.join(labels, "node"))
+            lists = keep.write(self.several(met))
             if pivots:
                 pairs = keep.write(self.alike(self.by_pivot(lists, pivots)))
                 links = keep.write(self.confirmed(pairs))
                 keep.drop(pairs)
             else:
-                links = keep.write(self.in_blocks(lists))
+                short = lists.where(F.col("size") <= LONG).withColumn("coordinate", F.shiftright("token", 32).cast("int"))
+                anew = self.by_shingle(lists.where(F.col("size") > LONG)).withColumn("coordinate", F.lit(-1))
+                links = keep.write(self.in_blocks(short.unionByName(anew)))
             after = contract(labels, links, keep)
-            keep.drop(lists, links)
+            keep.drop(met, lists, links)
             labels = after
-            gc()
         keep.drop(postings, self.posted, self.sets)
         return labels
 
+    def named(self) -> DataFrame:
+        """(set_key, at): the row that stands for the component of each class."""
+        classed = self.classes.select("node", "set_key", "at").join(self.components(), "node", "left").withColumn("label", F.coalesce("label", "node"))
+        least = classed.groupBy("label").agg(F.min("at").alias("least"))
+        return self.keep.write(classed.join(least, "label").select("set_key", F.col("least").alias("at")))
+
 
 def near_duplicates(docs: DataFrame, *, n: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of docs.
@@ -260,22 +310,24 @@ def near_duplicates(docs: DataFrame, *, n: int = 5, percent: int = 80, doc_id: s
     id names no component unless the component has no other, and its kept is null or false. An empty table gives no row.
     """
     find = Finder(docs, doc_id, text, n, percent)
-    labels = find.components()
-    classed = find.classes.select("node", "set_key", "doc").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    least = classed.groupBy("label").agg(F.min("doc").alias("component_id"))
-    named = find.keep.write(classed.join(least, "label").select("set_key", "component_id"))
+    named = find.named().select("set_key", F.col("at.doc_id").alias("component_id"))
     out = find.signed.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("set_key")).alias("set_key"))
     out = out.join(named, "set_key", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
 def keep_one(docs: DataFrame, *, n: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs without all but one document of each component; of rows that repeat a doc_id one stays.
+    """The rows of docs without all but one of each component: that of the least doc_id (null ones last), then hash of the text.
 
-    Rows with a null doc_id can't be named and stay. Columns are those of docs.
+    Null, empty and blank texts are in no component and stay. Rows that repeat both doc_id and text count as one row; of
+    a doc_id with several texts each text is a row of its own. An empty table gives no row. Columns are those of docs.
     """
-    judged = near_duplicates(docs, n=n, percent=percent, doc_id=doc_id, text=text)
-    name = unique_name("kept_id", docs.columns)
-    alone = judged.where("kept").select(F.col("doc_id").alias(name)).distinct()
-    one = docs.join(alone, docs[doc_id].cast("long") == alone[name], "left_semi").dropDuplicates([doc_id])
-    return one.unionByName(docs.where(F.col(doc_id).isNull()))
+    find = Finder(docs, doc_id, text, n, percent)
+    key = ["unnamed", "doc_id", "text_key"]
+    blank = find.signed.where("n_shingles = 0").select(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")
+    alone = find.named().select("at.*").distinct().unionByName(blank.distinct())
+    names = [unique_name(f"kept_{k}", docs.columns) for k in key]
+    alone = alone.withColumn("doc_id", F.coalesce("doc_id", F.lit(0))).toDF(*names)
+    values = [F.col(doc_id).isNull(), F.coalesce(F.col(doc_id).cast("long"), F.lit(0)), F.xxhash64(text_or_empty(text))]
+    marked = docs.withColumns(dict(zip(names, values, strict=True)))
+    return marked.join(alone, names, "left_semi").dropDuplicates(names).select(docs.columns)

@@ -78,7 +78,7 @@ def set_key(shingles: np.ndarray) -> bytes:
 
 
 def signed(batches: Iterator[pa.RecordBatch], n: int, k: int) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text as bytes) to doc_id, n_shingles, set_key, sig."""
+    """(doc_id, text as bytes, text_key) to doc_id, n_shingles, set_key, sig, text_key."""
     for whole in batches:
         for at in range(0, whole.num_rows, 512):
             batch = whole.slice(at, 512)
@@ -90,8 +90,9 @@ def signed(batches: Iterator[pa.RecordBatch], n: int, k: int) -> Iterator[pa.Rec
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([set_key(s) for s in sets], pa.binary()),
                     pa.ListArray.from_arrays(pa.array(np.arange(0, sigs.size + 1, k, dtype=np.int32)), pa.array(sigs.ravel())),
+                    batch.column(2),
                 ],
-                names=["doc_id", "n_shingles", "set_key", "sig"],
+                names=["doc_id", "n_shingles", "set_key", "sig", "text_key"],
             )
 
 

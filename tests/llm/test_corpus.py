@@ -85,10 +85,37 @@ def test_near_duplicates_odd_rows(spark):
     got = sorted(((r.doc_id, r.component_id, r.kept) for r in neardup.near_duplicates(df).collect()), key=str)
     assert got == sorted([(5, 5, True), (5, 5, True), (None, 5, None), (7, 5, False), (None, None, None), (9, 9, True), (9, 9, True)], key=str)
     kept = neardup.keep_one(df)
-    assert kept.columns == df.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["5", "9", "None", "None"]
+    assert kept.columns == df.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["5", "9", "None"]
     assert neardup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_null_ids_are_compared(spark):
+    rng = random.Random(4)
+    w = words(rng, 100)
+    near, other = " ".join([*w, "tail"]), " ".join(words(rng, 50))
+    rows = [(5, " ".join(w)), (None, near), (None, near), (None, other), (None, other + " x"), (8, other), (6, other), (6, near)]
+    got = sorted(((r.doc_id, r.component_id) for r in neardup.near_duplicates(frame(spark, rows)).collect()), key=str)
+    assert got == sorted([(5, 5), (None, 5), (None, 5), (None, 6), (None, 6), (8, 6), (6, 6), (6, 5)], key=str)
+    assert sorted((r.doc_id, r.text) for r in neardup.keep_one(frame(spark, rows)).collect()) == [(5, " ".join(w)), (6, other)]
+
+
+def test_long_lists_of_a_template(spark, monkeypatch):
+    """Pages of one template meet in no block; those of them that are alike are linked all the same."""
+    monkeypatch.setattr(neardup, "LONG", 40)
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    rng = random.Random(6)
+    template = words(rng, 100)
+    rows = [(i, " ".join(template + words(rng, 38, f"p{i}"))) for i in range(150)]
+    rows += [(200 + i, rows[i][1] + f" more{i}") for i in range(0, 150, 3)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(frame(spark, rows), n=4).collect()}
+    assert got == jaccard_components(rows, 4, 80)
+    dealt = []
+    whole = neardup.Finder.in_blocks
+    monkeypatch.setattr(neardup.Finder, "in_blocks", lambda self, lists: dealt.append(lists.count()) or whole(self, lists))
+    neardup.near_duplicates(frame(spark, rows), n=4).count()
+    assert dealt[0] < 4 * len(rows)
+
+
 # personal data
 
 
