@@ -6,6 +6,10 @@ the suffix that starts there. Suffixes whose first gram occurs once are dropped;
 (and, a second time, by what precedes, read backwards), compared with their neighbours, and the match is extended to the
 right and left by up to CONTEXT words each; longer passages hold several kept positions, whose matches are joined.
 
+Neighbours decide all matches of a gram that at most NEAR + 1 classes have. Of a gram of more, a passage's best partner may
+lie further off in both orders; there each suffix is also entered under each of the MIN_WORDS-word passages around its
+gram, and those that another document has are matches. So nothing that repeats is missed.
+
 Suffixes with equal contexts on both sides are one class, so thousands of copies are sorted as one row, and a sort key
 with many rows is split by range: neighbours on both sides of a cut meet in a second pass over the partitions' ends.
 Words are compared by 32-bit hashes, grams by 64 bits, so a passage of equal hashes but other words is practically
@@ -20,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, text_or_empty
+from .common import Scratch, salted_join, text_or_empty
 from .shingles import STEP, mixed, word_hashes
 
 #: A repeated passage has MIN_WORDS words or more: GRAM + WINDOW - 1.
@@ -119,6 +123,24 @@ def _contexts(frames):
         yield pd.DataFrame(out, columns=["gram", "class", "after", "before", "n_before", "n_after"])
 
 
+_PLACE = np.random.default_rng(7).integers(0, 1 << 63, CONTEXT + 1, dtype=np.uint64)
+
+
+def _passages(frames):
+    """(class, left, passage, low, high): the hash of each passage of MIN_WORDS words around a gram, left words of it before."""
+    for f in frames:
+        if not len(f):
+            continue
+        before, after = (np.frombuffer(b"".join(f[c]), dtype=">u4").reshape(len(f), CONTEXT).astype(np.uint64) for c in ("before", "after"))
+        gram = f["gram"].to_numpy().view(np.uint64)
+        sums = [np.concatenate([np.zeros((len(f), 1), np.uint64), np.cumsum(x * m, axis=1, dtype=np.uint64)], axis=1) for x, m in ((before, _MIX[:CONTEXT]), (after, _MIX[CONTEXT:]))]
+        left = np.arange(CONTEXT + 1)
+        whole = mixed(gram[:, None] + sums[0] + sums[1][:, ::-1] + _PLACE)
+        row, at = np.nonzero((left <= f["n_before"].to_numpy()[:, None]) & (CONTEXT - left <= f["n_after"].to_numpy()[:, None]))
+        got = f[["class", "low", "high"]].iloc[row]
+        yield got.assign(left=at.astype(np.int32), passage=whole[row, at].view(np.int64))[["class", "left", "passage", "low", "high"]]
+
+
 def _run(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Words that rows of two context matrices share from the start on."""
     same = (a == b) & (a != 0)
@@ -171,27 +193,25 @@ def repeated_passages(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "t
 
     Words are those of white space (`[^\\x20\\x09-\\x0D]+`), A to Z lower-cased, counted from 0; end_word is exclusive. A
     passage is a run of overlapping matches; other_doc is the least document met that shares a part of it. Passages
-    that recur in their own document alone are not told. Null, empty and shorter texts have none, nor does an empty
+    that recur in their own document alone are not told; one that another document has is told wherever it stands. Null, empty and shorter texts have none, nor does an empty
     table; repeated rows are told once, as rows of one doc_id are one document; rows with a null doc_id take no part.
     """
     keep = Scratch(docs.sparkSession, "suffix")
-    gc = docs.sparkSession.sparkContext._jvm.System.gc  # lets Spark delete the shuffles of finished steps
     body = text_or_empty(text)
     rows = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(body).alias("text_key"), body.cast("binary").alias("text"))
     every = keep.write(rows.mapInArrow(_positions, "doc_id long, text_key long, pos int, gram long, class long"))
     span = [F.min("doc_id").alias("low"), F.max("doc_id").alias("high")]
-    repeated = every.groupBy("gram").agg(*span).where("low < high").select("gram")
-    kept = keep.write(every.join(repeated, "gram"))
-    keep.drop(every)
-    gc()
+    # written, so that the join's two sides are shuffled on their own and a frequent gram's rows can be split
+    repeated = keep.write(every.groupBy("gram").agg(*span).where("low < high").select("gram"))
+    kept = keep.write(salted_join(every, repeated, ["gram"], F.struct("doc_id", "pos"), salts=4))
+    keep.drop(every, repeated)
     # one row per class: the suffixes that agree in both contexts
     one = F.min(F.struct("doc_id", "text_key", "pos")).alias("at")
     classes = keep.write(kept.groupBy("class").agg(*span, one))
     asked = classes.groupBy(F.col("at.doc_id").alias("doc_id"), F.col("at.text_key").alias("text_key")).agg(F.collect_list("at.pos").alias("at"))
-    texts = rows.join(asked.hint("merge"), ["doc_id", "text_key"]).dropDuplicates(["doc_id", "text_key"]).select("text", "at")
+    texts = rows.join(asked, ["doc_id", "text_key"]).dropDuplicates(["doc_id", "text_key"]).select("text", "at")
     sides = texts.mapInPandas(_contexts, "gram long, class long, after binary, before binary, n_before int, n_after int")
     rowed = keep.write(sides.dropDuplicates(["class"]).join(classes.select("class", "low", "high"), "class"))
-    gc()
     schema = "kind int, gram long, class long, after binary, before binary, low long, high long, left int, right int, other long"
     found = None
     for order in (["gram", "after", "before", "class"], ["gram", "before", "after", "class"]):
@@ -202,12 +222,17 @@ def repeated_passages(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "t
         across = edges.coalesce(1).sortWithinPartitions(*order).mapInPandas(lambda it: _neighbours(it, True), schema)
         both = met.where("kind = 0").unionByName(across.where("kind = 0")).select("class", "left", "right", "other")
         found = both if found is None else found.unionByName(both)
+    crowded = keep.write(rowed.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > NEAR + 1).select("gram"))
+    around = keep.write(salted_join(rowed, crowded, ["gram"], F.col("class"), salts=4).mapInPandas(_passages, "class long, left int, passage long, low long, high long"))
+    both = around.groupBy("passage").agg(F.min("low").alias("least"), F.max("high").alias("most")).where("least < most")
+    met = salted_join(around, keep.write(both), ["passage"], F.col("class"), salts=4)
+    partner = F.when(F.col("low") < F.col("high"), None).when(F.col("least") == F.col("low"), F.col("most")).otherwise(F.col("least"))
+    found = found.unionByName(met.select("class", "left", (CONTEXT - F.col("left")).alias("right"), partner.alias("other")))
     whole = rowed.where("low < high").where(F.col("n_before") + F.col("n_after") >= MIN_WORDS - GRAM)
     whole = whole.select("class", F.col("n_before").alias("left"), F.col("n_after").alias("right"), F.lit(None).cast("long").alias("other"))
     spans = found.unionByName(whole).groupBy("class", "left", "right").agg(F.min("other").alias("other"))
     spans = keep.write(spans.join(classes.select("class", "low", "high"), "class"))
     keep.drop(classes, rowed)
-    gc()
     # the least other document: of a class of several one of its ends, else the one that was met
     other = F.when(F.col("low") == F.col("high"), F.col("other")).when(F.col("doc_id") == F.col("low"), F.col("high")).otherwise(F.col("low"))
     met = kept.select("doc_id", "text_key", "pos", "class").join(spans, "class")

@@ -290,6 +290,26 @@ def test_repeated_passages_equal_brute_force(spark):
     assert suffix.repeated_passages(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_repeated_passages_of_a_frequent_gram(spark):
+    """Short passages whose best partner is no near neighbour in either order, in one document very often, in another once."""
+    rng = random.Random(9)
+    core = words(rng, 40, "c")
+    rows = []
+    for i in range(120):  # the core amid up to ten mostly common words on either side
+        a, b = rng.randint(0, 10), rng.randint(0, 10)
+        left = [f"l{rng.random() < 0.1}_{k}" for k in range(a)][::-1]
+        right = [f"r{rng.random() < 0.1}_{k}" for k in range(b)]
+        rows.append((i, " ".join(words(rng, 3) + left + core + right + words(rng, 3))))
+    passage = words(rng, 55, "p")
+    rows.append((200, " ".join(" ".join(words(rng, 30) + passage) for _ in range(40))))
+    rows.append((201, " ".join(words(rng, 30) + passage + words(rng, 30))))
+    got = {}
+    for r in suffix.repeated_passages(frame(spark, rows)).collect():
+        assert r.other_doc != r.doc_id
+        got.setdefault(r.doc_id, set()).update(range(r.start_word, r.end_word))
+    assert got == covered(rows) and len(got) > 30
+
+
 def test_grams_and_positions():
     h = word_hashes(" ".join(f"w{i}" for i in range(300)).encode())
     g = suffix.gram_hashes(h)
