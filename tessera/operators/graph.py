@@ -12,7 +12,10 @@ def _dir(table: DataFrame) -> None:
 
     sc = table.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tessera-"))
+        shared = sc.getConf().get("spark.checkpoint.dir")
+        if not shared and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tessera-"))
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -33,12 +36,18 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return labels
 
 
-def grid_neighbours(points: DataFrame, axes: list[str], node: str = "node") -> DataFrame:
-    """(i, j): points whose integer coordinates differ by one on one axis; equi-joins on shifted coordinates."""
+def touching(points: DataFrame, axes: list[str], same: list[str], node: str = "node") -> DataFrame:
+    """(i, j): points whose integer coordinates differ by one on one axis and agree on all else; equi-joins on shifted coordinates."""
     out = None
+    key = [*same, *axes]
     for axis in axes:
-        a = points.select(F.col(node).alias("i"), *axes)
-        b = points.select(F.col(node).alias("j"), *((F.col(c) - 1 if c == axis else F.col(c)).alias(c) for c in axes))
-        met = a.join(b, axes).select("i", "j")
+        a = points.select(F.col(node).alias("i"), *key)
+        b = points.select(F.col(node).alias("j"), *((F.col(c) - 1).alias(c) if c == axis else F.col(c) for c in key))
+        met = a.join(b, key).select("i", "j")
         out = met if out is None else out.unionByName(met)
     return out
+
+
+def grid_neighbours(points: DataFrame, axes: list[str], node: str = "node") -> DataFrame:
+    """``touching`` points of one grid."""
+    return touching(points, axes, [], node)

@@ -285,12 +285,6 @@ def partial_scale(spark, d):
     return _sum_partials(spark, d, "scale")
 
 
-@query()
-def half_set_r_split(spark, d):
-    halves = groups.half_sets(measurements(spark, d), ["key"], "intensity", "variance", ["row_id"], 1)
-    return groups.r_split(halves)
-
-
 @query(f"{M}, b AS (SELECT *, CAST(greatest(0, least(4, floor((1 / (d * d) - 0.02) / 0.05))) AS INT) AS bin FROM m), g AS (SELECT bin, key, avg(intensity) AS me, var_samp(intensity) AS v, count(*) AS c FROM b GROUP BY bin, key HAVING count(*) > 1), a AS (SELECT bin, count(*) AS n, var_samp(me) AS s, avg(v / c) AS e FROM g GROUP BY bin) SELECT bin, n, round((s - e) / (s + e), 6) AS cc_half FROM a")
 def resolution_bins_cc_half(spark, d):
     binned = measurements(spark, d).withColumn("bin", binning.uniform_bin(1 / (F.col("d") * F.col("d")), 0.02, 0.27, 5))
@@ -324,23 +318,6 @@ def dataset_corr_matrix(spark, d):
     return groups.dataset_correlations(measurements(spark, d), ["key"], "id", "intensity").withColumn("cc", F.round("cc", 6))
 
 
-_PAIRS = f"{M}, p AS (SELECT greatest(a.z % 100, b.z % 100) AS dose, abs(a.z % 100 - b.z % 100) AS gap, abs(a.intensity - b.intensity) AS diff, abs(a.intensity + b.intensity) / 2 AS half FROM m a JOIN m b ON a.key = b.key AND a.row_id < b.row_id)"
-
-
-def _pairs(spark, d):
-    return groups.pair_differences(measurements(spark, d).withColumn("dose", F.col("z") % 100), ["key"], "dose", "intensity", "row_id")
-
-
-@query(f"{_PAIRS}, g AS (SELECT dose, sum(diff) AS a, sum(half) AS s FROM p GROUP BY dose) SELECT dose, round(sum(a) OVER (ORDER BY dose) / sum(s) OVER (ORDER BY dose), 6) AS rcp FROM g")
-def rcp(spark, d):
-    return groups.r_cumulative(_pairs(spark, d)).withColumn("rcp", F.round("rcp", 6))
-
-
-@query(f"{_PAIRS} SELECT gap, round(sum(diff) / sum(half), 6) AS rd FROM p GROUP BY gap")
-def rd(spark, d):
-    return groups.r_by_gap(_pairs(spark, d)).withColumn("rd", F.round("rd", 6))
-
-
 @query(f"{M}, f AS (SELECT key, min(z) AS dose FROM m GROUP BY key), g AS (SELECT dose, count(*) AS c FROM f GROUP BY dose) SELECT dose, CAST(sum(c) OVER (ORDER BY dose) AS BIGINT) AS seen, round(sum(c) OVER (ORDER BY dose) / 2000, 6) AS completeness FROM g")
 def dose_completeness(spark, d):
     return groups.completeness(measurements(spark, d), ["key"], "z", 2000).withColumn("completeness", F.round("completeness", 6))
@@ -560,9 +537,15 @@ def shelx_lines(spark, d):
     return formats.lines(rows, "shelx", ["h", "k", "l"])
 
 
+def _all() -> dict[str, tuple]:
+    from tessera.plans import more, reports  # noqa: F401  # they register their queries
+
+    return REGISTRY
+
+
 def queries() -> dict:
-    return {name: f for name, (f, _) in REGISTRY.items()}
+    return {name: f for name, (f, _) in _all().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, (_, sql) in REGISTRY.items() if sql}
+    return {name: sql for name, (_, sql) in _all().items() if sql}
