@@ -12,13 +12,17 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.graph import checkpoint_dir
 
-def dense(table: DataFrame, order: list[str], name: str, width: int = 4096) -> DataFrame:
+
+def dense(table: DataFrame, order: list[str], name: str) -> DataFrame:
     """table with a number from 0 in the order of distinct values of a column set: ranks within ranges, shifted by the sizes before.
 
-    The rows are dealt by range, so no task sorts them all; what goes through one task is a row per range.
+    The values are dealt by range, so no task sorts them all; what goes through one task is a row per range. They are
+    written once, as ranges are cut by a sample.
     """
-    keys = table.select(*order).distinct().repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    checkpoint_dir(table)
+    keys = table.select(*order).distinct().repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).checkpoint()
     keys = keys.withColumn("_rank", F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1)
     sizes = keys.groupBy("_part").agg(F.count("*").alias("_n"))
     before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
@@ -150,12 +154,10 @@ class Datasets:
 
 def combine(sets: list[Datasets]) -> Datasets:
     """All datasets in one table, renumbered 0 to n - 1 by (place in the list, id); id -1 stays."""
-    spark = sets[0].rows.sparkSession
     maps = reduce(DataFrame.unionByName, (s.ids.select(F.lit(k).alias("_set"), "id", "identifier") for k, s in enumerate(sets)))
     numbered = dense(maps, ["_set", "id"], "_new")
     rows = reduce(DataFrame.unionByName, (s.rows.withColumn("_set", F.lit(k)) for k, s in enumerate(sets)))
     met = rows.join(numbered.select("_set", "id", "_new"), ["_set", "id"], "left")
-    del spark
     return Datasets(
         met.withColumn("id", F.coalesce("_new", F.lit(-1)).cast("int")).select(sets[0].rows.columns),
         numbered.select(F.col("_new").cast("int").alias("id"), "identifier"),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _dir(table: DataFrame) -> None:
+def checkpoint_dir(table: DataFrame) -> None:
     """Sees to a folder for checkpoints: the session's, or a local one where none is set."""
     import tempfile
 
@@ -21,14 +21,21 @@ def _dir(table: DataFrame) -> None:
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, label): the least node of each component. edges (i, j) go either way; nodes without any stand alone.
 
-    Labels are contracted round by round: each takes its least neighbour if smaller, then edges move to the labels.
+    Labels are contracted round by round: each takes its least neighbour if smaller, chains of these are followed to their
+    ends by doubling, then edges move to the labels; rounds are about the logarithm of a component's size.
     """
-    _dir(nodes)
+    checkpoint_dir(nodes)
     labels = nodes.select("node", F.col("node").alias("label"))
     left = edges.where("i <> j").select("i", "j").distinct().checkpoint()
     while not left.isEmpty():
         both = left.unionByName(left.select(F.col("j").alias("i"), F.col("i").alias("j")))
         up = both.groupBy("i").agg(F.min("j").alias("up")).where("up < i").checkpoint()
+        while True:
+            above = up.select(F.col("i").alias("up"), F.col("up").alias("above"))
+            jumped = up.join(above, "up", "left").select("i", F.coalesce("above", "up").alias("up"), F.col("above").isNotNull().alias("moved")).checkpoint()
+            up = jumped.select("i", "up")
+            if jumped.where("moved").isEmpty():
+                break
         labels = labels.join(up, labels["label"] == up["i"], "left").select("node", F.coalesce("up", "label").alias("label")).checkpoint()
         ends = [up.select(F.col("i").alias(x), F.col("up").alias(f"u{x}")) for x in ("i", "j")]
         moved = left.join(ends[0], "i", "left").join(ends[1], "j", "left").select(F.coalesce("ui", "i").alias("i"), F.coalesce("uj", "j").alias("j"))

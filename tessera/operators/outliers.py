@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.ranks import average_ranks, quantiles
+
 
 def group_z(key: list[str], value: Column, scale: Column, weight: Column, leave_out: bool) -> Column:
     """Normalised deviation of a row from its group's best estimate; without the row itself if leave_out. Zero denominators give 1000; groups of two rows or fewer null."""
@@ -31,19 +33,75 @@ def worst_outliers(table: DataFrame, key: list[str], value: Column, scale: Colum
     return scored.withColumn("_k", F.row_number().over(worst)).where("_k = 1").drop("_k")
 
 
-def iterative_outliers(table: DataFrame, key: list[str], value: Column, scale: Column, weight: Column, zmax: float, row_id: str = "row_id", rounds: int | None = None) -> DataFrame:
-    """row_id of all outliers: rounds of worst_outliers on what is left of the groups that the last round changed, until none is found, or of so many rounds."""
-    found, left, done = None, table, 0
-    while found is None or rounds is None or done < rounds:
+#: Rows of a group up to which its rounds run in one task's memory.
+BIG = 100_000
+
+
+def _rounds(frames, key: list[str], row_id: str, zmax: float):
+    """row_id of the outliers of the whole groups of a sorted stream; the rounds of all groups of a batch at a time."""
+    import numpy as np
+    import pandas as pd
+
+    def judged(f):
+        starts = np.flatnonzero(np.r_[True, (f[key].to_numpy()[1:] != f[key].to_numpy()[:-1]).any(axis=1)])
+        group = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(f)]))
+        ids, i, g, w = (f[c].to_numpy() for c in (row_id, "_i", "_g", "_w"))
+        out = []
+        while len(ids):
+            # rows of a group stand together
+            first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+            n = np.diff(np.r_[first, len(group)])
+            top, below = (np.repeat(np.add.reduceat(x, first), n) - x for x in (g * i * w, g * g * w))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                off, spread = np.abs(i - g * top / below), np.sqrt(1 / w + g * g / below)
+                z = np.where((below == 0) | (spread == 0), 1000.0, off / spread)
+            bad = np.flatnonzero((z > zmax) & np.repeat(n > 2, n))
+            if not len(bad):
+                break
+            order = bad[np.lexsort((ids[bad], -z[bad], group[bad]))]
+            worst = order[np.r_[True, group[order][1:] != group[order][:-1]]]
+            out.append(ids[worst])
+            left = np.isin(group, group[worst])
+            left[worst] = False
+            ids, i, g, w, group = (x[left] for x in (ids, i, g, w, group))
+        return pd.DataFrame({row_id: np.concatenate(out) if out else np.zeros(0, ids.dtype)})
+
+    rest = None
+    for f in frames:
+        f = f if rest is None else pd.concat([rest, f], ignore_index=True)
+        if not len(f):
+            continue
+        same = (f[key].to_numpy() == f[key].to_numpy()[-1]).all(axis=1)
+        cut = len(f) - int(same[::-1].argmin()) if not same.all() else 0
+        rest = f.iloc[cut:]
+        if cut:
+            yield judged(f.iloc[:cut].reset_index(drop=True))
+    if rest is not None and len(rest):
+        yield judged(rest.reset_index(drop=True))
+
+
+def iterative_outliers(table: DataFrame, key: list[str], value: Column, scale: Column, weight: Column, zmax: float, row_id: str = "row_id") -> DataFrame:
+    """row_id of all outliers: the worst row of each group goes, and again of what is left, until a round finds none.
+
+    Groups of up to BIG rows are shuffled once and run all their rounds where they are; for larger ones each round is a
+    pass of ``worst_outliers`` over the groups that the last one changed. Both give the same rows. ``row_id`` and keys are numbers.
+    """
+    rows = table.select(row_id, *key, value.cast("double").alias("_i"), scale.cast("double").alias("_g"), weight.cast("double").alias("_w"))
+    large = rows.groupBy(*key).agg(F.count("*").alias("_n")).where(F.col("_n") > BIG).select(*key).checkpoint()
+    small = rows.join(large, key, "left_anti").repartition(*key).sortWithinPartitions(*key, row_id)
+    found = small.mapInPandas(lambda it: _rounds(it, key, row_id, zmax), f"{row_id} {dict(rows.dtypes)[row_id]}")
+    if large.isEmpty():
+        return found
+    left, done = rows.join(large, key, "left_semi").checkpoint(), 0
+    while True:
         done += 1
-        worst = worst_outliers(left, key, value, scale, weight, zmax, row_id).select(row_id, *key).checkpoint()
-        found = worst.select(row_id) if found is None else found.unionByName(worst.select(row_id))
+        worst = worst_outliers(left, key, F.col("_i"), F.col("_g"), F.col("_w"), zmax, row_id).select(row_id, *key).checkpoint()
+        if worst.isEmpty():
+            return found
+        found = found.unionByName(worst.select(row_id))
         if done % 16 == 0:  # a plan of a bounded number of unions
             found = found.checkpoint()
-        if worst.isEmpty():
-            break
         left = left.join(worst.select(*key), key, "left_semi").join(worst.select(row_id), row_id, "left_anti").checkpoint()
-    return found
 
 
 def target_outliers(table: DataFrame, target: DataFrame, keys: list[str], value: Column, variance: Column, zmax: float) -> DataFrame:
@@ -55,10 +113,10 @@ def target_outliers(table: DataFrame, target: DataFrame, keys: list[str], value:
 
 def tukey(table: DataFrame, by: list[str], value: str, k: float = 1.5) -> DataFrame:
     """table with outlier: outside the quartiles by k times their distance, within each group."""
-    q = table.groupBy(*by).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.75))).alias("_q"))
-    low, high = F.col("_q")[0], F.col("_q")[1]
+    q = quantiles(table, by, value, [0.25, 0.75], ["_low", "_high"])
+    low, high = F.col("_low"), F.col("_high")
     out = (F.col(value) < low - k * (high - low)) | (F.col(value) > high + k * (high - low))
-    return table.join(q, by).withColumn("outlier", out).drop("_q")
+    return table.join(q, by).withColumn("outlier", out).drop("_low", "_high")
 
 
 def wilson_cut(e_squared: Column, centric: Column) -> Column:
@@ -66,15 +124,9 @@ def wilson_cut(e_squared: Column, centric: Column) -> Column:
     return e_squared > F.when(centric, F.lit(23.91)).otherwise(F.lit(13.82))
 
 
-def average_rank(by: list[str], value: str) -> Column:
-    """Rank from 1 within a group, ties sharing their mean."""
-    same = Window.partitionBy(*by, value)
-    return F.rank().over(Window.partitionBy(*by).orderBy(value)) + (F.count("*").over(same) - 1) / 2
-
-
 def spearman(table: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     """by, n, rho = 1 - 6 sum d^2 / (n (n^2 - 1)), not corrected for ties."""
-    ranked = table.withColumns({"_rx": average_rank(by, x), "_ry": average_rank(by, y)})
+    ranked = average_ranks(average_ranks(table.select(*by, x, y), by, x, "_rx"), by, y, "_ry")
     d2 = F.sum((F.col("_rx") - F.col("_ry")) * (F.col("_rx") - F.col("_ry")))
     n = F.count("*")
     return ranked.groupBy(*by).agg(n.alias("n"), (1 - 6 * d2 / (n * (n * n - 1))).alias("rho"))

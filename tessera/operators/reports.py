@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.ranks import value_places
+
 
 def significance_filter(table: DataFrame, dataset: str, bin_: str, i_over_sigma: Column, least: float) -> DataFrame:
     """Rows of each dataset's leading run of bins whose mean of positive I / sigma is at least ``least``; datasets without such a bin are gone."""
@@ -98,8 +100,23 @@ def column_summary(table: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def kolmogorov_smirnov(table: DataFrame, by: list[str], cdf: Column, value: str) -> DataFrame:
-    """by, n, d: the largest distance of each group's empirical distribution from a given one."""
-    order = Window.partitionBy(*by).orderBy(value)
-    rank, n = F.row_number().over(order), F.count("*").over(Window.partitionBy(*by))
-    gap = F.greatest(rank / n - cdf, cdf - (rank - 1) / n)
-    return table.withColumn("_g", gap).groupBy(*by).agg(F.count("*").alias("n"), F.max("_g").alias("d"))
+    """by, n, d, above, below: the largest distance of each group's empirical distribution from a given one, either way and by side.
+
+    Equal values are one step of the distribution.
+    """
+    places = value_places(table, by, value)
+    sizes = places.groupBy(*by).agg(F.sum("n").alias("_all"))
+    met = places.join(sizes, by)
+    above, below = (F.col("before") + F.col("n")) / F.col("_all") - cdf, cdf - F.col("before") / F.col("_all")
+    out = met.withColumns({"_a": above, "_b": below}).groupBy(*by).agg(F.sum("n").alias("n"), F.max("_a").alias("above"), F.max("_b").alias("below"))
+    return out.select(*by, "n", F.greatest("above", "below").alias("d"), "above", "below")
+
+
+def kolmogorov_p(d: float, n: int, terms: int = 100) -> float:
+    """The chance of so large a distance for n rows, by the asymptotic series."""
+    import math
+
+    x = (math.sqrt(n) + 0.12 + 0.11 / math.sqrt(n)) * d
+    if x < 0.2:
+        return 1.0
+    return min(1.0, max(0.0, 2 * sum((-1) ** (k - 1) * math.exp(-2 * k * k * x * x) for k in range(1, terms))))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,15 +82,17 @@ def split_partials(table: DataFrame, z0: str = "z0", z1: str = "z1", row_id: str
 
 
 def random_split(table: DataFrame, n: int, seed: int, order: list[str]) -> DataFrame:
-    """table with part 0..n-1, parts of near-equal size in an order that the seed fixes, whatever the partitioning."""
-    key = F.xxhash64(F.lit(seed), *order)
-    parts = table.withColumn("_bucket", F.pmod(key, F.lit(1024)))
-    # ranks within buckets, shifted by the sizes of those before: no global sort in one task
+    """table with part 0..n-1, parts of near-equal size: rows in the order of md5 of seed and row, dealt in turn.
+
+    Places come from buckets of the hash, as many as keep one to some hundred thousand rows, and their sizes before.
+    """
+    key = F.md5(F.concat_ws(":", F.lit(str(seed)), *(F.col(c).cast("string") for c in order)))
+    digits = max(2, math.ceil(math.log(max(table.count(), 1) / 100_000 + 1, 16)) + 1)
+    parts = table.withColumns({"_key": key, "_bucket": F.substr(key, F.lit(1), F.lit(digits))})
     sizes = parts.groupBy("_bucket").count()
-    before = sizes.withColumn("_before", F.sum("count").over(Window.orderBy("_bucket")) - F.col("count"))
-    ranked = parts.withColumn("_rank", F.row_number().over(Window.partitionBy("_bucket").orderBy(key, *order)) - 1)
-    ranked = ranked.join(F.broadcast(before.select("_bucket", "_before")), "_bucket")  # 1024 rows
-    return ranked.withColumn("part", ((F.col("_rank") + F.col("_before")) % n).cast("int")).drop("_bucket", "_rank", "_before")
+    before = sizes.select("_bucket", (F.sum("count").over(Window.orderBy("_bucket")) - F.col("count")).alias("_before"))  # a row per bucket
+    ranked = parts.withColumn("_rank", F.row_number().over(Window.partitionBy("_bucket").orderBy("_key", *order)) - 1).join(before, "_bucket")
+    return ranked.withColumn("part", ((F.col("_rank") + F.col("_before")) % n).cast("int")).drop("_bucket", "_rank", "_before", "_key")
 
 
 def sort_rows(table: DataFrame, column: str, row_id: str, reverse: bool = False, parts: list[str] | None = None) -> DataFrame:
@@ -133,18 +137,35 @@ def add_hash(h: Column, k: Column, l: Column, entering: Column) -> Column:  # no
 def tolerance_groups(values: DataFrame, value: str, tolerance: float) -> DataFrame:
     """value, grp: sorted distinct values; a group ends where a value is more than tolerance above its first.
 
-    A group's start depends on the one before, so the distinct values, a small dimension, go through one task in order.
+    A gap wider than the tolerance ends a group wherever the group began, so values are first cut into runs without such
+    gaps; a run streams through one task in order, its groups are numbered after those of the runs before. Only a row per
+    run is numbered in one task.
     """
+    from tessera.operators.ranks import value_places
+
+    kind = dict(values.dtypes)[value]
+    places = value_places(values.select(value).distinct().withColumn("_one", F.lit(1)), ["_one"], value).select(value, "before")
+    ahead = places.select(F.col(value).alias("_last"), (F.col("before") + 1).alias("before"))
+    cut = places.join(ahead, "before", "left").withColumn("_cut", F.col("_last").isNull() | (F.col(value) - F.col("_last") > tolerance))
+    starts = cut.where("_cut").select(F.col("before").alias("_run"), F.lead("before").over(Window.orderBy("before")).alias("_end"))
+    ranged = cut.select(value, "before").withColumn("_k", F.floor(F.col("before") / 65536))
+    spans = starts.withColumn("_k", F.explode(F.sequence(F.floor(F.col("_run") / 65536), F.floor((F.coalesce("_end", F.lit(places.count())) - 1) / 65536))))
+    met = ranged.join(spans, "_k").where((F.col("before") >= F.col("_run")) & (F.col("_end").isNull() | (F.col("before") < F.col("_end"))))
 
     def run(frames):
-        start, group = None, -1
+        last, start, group = None, None, -1
         for f in frames:
             out = []
-            for v in f[value]:
-                if start is None or v - start > tolerance:
+            for r, v in zip(f["_run"], f[value], strict=True):
+                if r != last:
+                    last, start, group = r, v, 0
+                elif v - start > tolerance:
                     start, group = v, group + 1
                 out.append(group)
-            yield f.assign(grp=out)
+            yield f[["_run", value]].assign(_in=out)
 
-    kind = dict(values.dtypes)[value]
-    return values.select(value).distinct().coalesce(1).sortWithinPartitions(value).mapInPandas(run, f"{value} {kind}, grp int")
+    told = met.select("_run", value).repartition("_run").sortWithinPartitions("_run", value).mapInPandas(run, f"_run long, {value} {kind}, _in int")
+    told = told.checkpoint()
+    sizes = told.groupBy("_run").agg((F.max("_in") + 1).alias("_n"))
+    earlier = sizes.select("_run", (F.sum("_n").over(Window.orderBy("_run")) - F.col("_n")).alias("_earlier"))
+    return told.join(earlier, "_run").select(value, (F.col("_earlier") + F.col("_in")).cast("int").alias("grp"))

@@ -6,7 +6,7 @@ extended prices the intensities. Sums are rounded where the order of addition wo
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import binning, geometry, shoebox
@@ -139,10 +139,10 @@ def hash_and_batch(spark, d):
     return m.select("row_id", table.add_hash(F.col("h"), F.col("k"), F.col("l"), F.col("entering")).alias("hash"), table.batch_of(F.col("z"), F.lit(100)).cast("double").alias("batch"))
 
 
-@query(f"{M}, u AS (SELECT 0 AS t, id, row_id FROM m WHERE panel = 1 UNION ALL SELECT 1, id, row_id FROM m WHERE panel = 2 AND id IN (2, 5)), s AS (SELECT t, id, CAST(dense_rank() OVER (ORDER BY t, id) - 1 AS INT) AS new FROM (SELECT DISTINCT t, id FROM u)) SELECT row_id, new AS id FROM u JOIN s USING (t, id)")
+@query(f"{M}, u AS (SELECT 0 AS t, id, row_id FROM m WHERE panel <= 3 UNION ALL SELECT 1, id, row_id FROM m WHERE panel > 3), s AS (SELECT t, id, CAST(dense_rank() OVER (ORDER BY t, id) - 1 AS INT) AS new FROM (SELECT DISTINCT t, id FROM u)) SELECT row_id, new AS id FROM u JOIN s USING (t, id)")
 def concat_renumber(spark, d):
     m = measurements(spark, d)
-    return table.concat([m.where("panel = 1").select("id", "row_id"), m.where("panel = 2 AND id IN (2, 5)").select("id", "row_id")]).select("row_id", "id")
+    return table.concat([m.where("panel <= 3").select("id", "row_id"), m.where("panel > 3").select("id", "row_id")]).select("row_id", "id")
 
 
 @query(f"{M} SELECT row_id AS partial_id, CAST(p AS INT) AS z0, CAST(p + 1 AS INT) AS z1 FROM (SELECT row_id, unnest(range(z, z + 1 + panel % 3)) AS p FROM m)")
@@ -156,42 +156,38 @@ def top_n_datasets(spark, d):
     return table.top_datasets(measurements(spark, d).select("id", "intensity"), 3).groupBy("id").agg(F.count("*").alias("n"), F.round(F.sum("intensity"), 2).alias("total"))
 
 
-@query(f"{M} SELECT 7 AS parts, count(*) AS n FROM m")
+@query(f"{M} SELECT row_id, CAST((row_number() OVER (ORDER BY md5(concat('3:', CAST(row_id AS VARCHAR))), row_id) - 1) % 7 AS INT) AS part FROM m")
 def random_split(spark, d):
-    parts = table.random_split(measurements(spark, d).select("row_id"), 7, 3, ["row_id"]).groupBy("part").agg(F.count("*").alias("n"))
-    return parts.agg(F.count("*").cast("int").alias("parts"), F.sum("n").alias("n"), (F.max("n") - F.min("n")).alias("spread")).where("spread <= 1").drop("spread")
+    return table.random_split(measurements(spark, d).select("row_id"), 7, 3, ["row_id"])
 
 
-@query("SELECT o_orderkey AS row_id, o_totalprice AS a, CASE WHEN o_orderkey % 3 = 0 THEN 'x' ELSE o_orderstatus END AS s FROM orders WHERE o_orderkey % 2 = 0 AND o_orderkey >= 10 AND o_orderkey < 2000")
+@query("SELECT o_orderkey AS row_id, o_totalprice AS a, CASE WHEN o_orderkey % 3 = 0 THEN 'x' ELSE o_orderstatus END AS s FROM orders WHERE (o_orderkey - 10) % 2 = 0 AND o_orderkey >= 10")
 def update_and_slice(spark, d):
     o = read(spark, d, "orders").select(F.col("o_orderkey").alias("row_id"), F.col("o_totalprice").alias("a"), F.col("o_orderstatus").alias("s"))
     new = o.select("row_id", F.when(F.col("row_id") % 3 == 0, F.lit("x")).otherwise(F.col("s")).alias("s"))
-    return table.slice_rows(table.update(o, new, "row_id"), "row_id", 10, 2000, 2).select("row_id", "a", "s")
+    return table.slice_rows(table.update(o, new, "row_id"), "row_id", 10, 1 << 62, 2).select("row_id", "a", "s")
 
 
-@query("WITH v AS (SELECT DISTINCT o_totalprice AS v FROM orders WHERE o_orderkey < 300), o AS (SELECT v, row_number() OVER (ORDER BY v) AS i FROM v), r AS (SELECT * FROM (WITH RECURSIVE g AS (SELECT v, i, v AS start, 0 AS grp FROM o WHERE i = 1 UNION ALL SELECT o.v, o.i, CASE WHEN o.v - g.start > 5000 THEN o.v ELSE g.start END, CASE WHEN o.v - g.start > 5000 THEN g.grp + 1 ELSE g.grp END FROM g JOIN o ON o.i = g.i + 1) SELECT v, grp FROM g)) SELECT v, grp FROM r")
+@query()
 def tolerance_groups(spark, d):
-    return table.tolerance_groups(read(spark, d, "orders").where("o_orderkey < 300").select(F.col("o_totalprice").alias("v")), "v", 5000.0)
+    prices = read(spark, d, "orders").select(F.col("o_totalprice").alias("v"))
+    graph.checkpoint_dir(prices)
+    return table.tolerance_groups(prices, "v", 50.0)
 
 
 # joins
 
 
-def _two(spark, d, *columns):
-    m = measurements(spark, d).select("row_id", *columns)
-    return m.where("row_id % 5 = 1"), m.where("row_id % 5 = 3")
-
-
-@query(f"{M} SELECT a.row_id AS left_row, b.row_id AS right_row FROM m a JOIN m b USING (h, k, l, entering) WHERE a.id = 1 AND b.id = 2 AND a.panel = 1 AND b.panel = 1")
+@query(f"{M} SELECT a.row_id AS left_row, b.row_id AS right_row FROM m a JOIN m b USING (h, k, l, entering) WHERE a.id = 1 AND b.id = 2")
 def match_hkle(spark, d):
-    m = measurements(spark, d).where("panel = 1")
+    m = measurements(spark, d)
     return joins.match_keys(m.where("id = 1"), m.where("id = 2"), ["h", "k", "l", "entering"])
 
 
-@query(f"{M}, p AS (SELECT a.row_id AS left_row, b.row_id AS right_row, (a.x - b.x) * (a.x - b.x) + (a.d - b.d) * (a.d - b.d) AS d2 FROM m a JOIN m b USING (key) WHERE a.row_id % 5 = 1 AND b.row_id % 5 = 3), o AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY left_row ORDER BY d2, right_row) = 1), t AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY right_row ORDER BY d2, left_row) = 1) SELECT left_row, right_row, round(d2, 6) AS d2 FROM t WHERE d2 < 4")
+@query(f"{M}, p AS (SELECT a.row_id AS left_row, b.row_id AS right_row, (a.x - b.x) * (a.x - b.x) + (a.d - b.d) * (a.d - b.d) AS d2 FROM m a JOIN m b USING (key) WHERE a.id < 5 AND b.id >= 5), o AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY left_row ORDER BY d2, right_row) = 1), t AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY right_row ORDER BY d2, left_row) = 1) SELECT left_row, right_row, round(d2, 6) AS d2 FROM t WHERE d2 < 4")
 def match_nearest_tiebreak(spark, d):
-    a, b = _two(spark, d, "key", "x", "d")
-    return joins.match_nearest_keyed(a, b, ["key"], ["x", "d"]).withColumn("d2", F.round("d2", 6))
+    m = measurements(spark, d).select("row_id", "id", "key", "x", "d")
+    return joins.match_nearest_keyed(m.where("id < 5"), m.where("id >= 5"), ["key"], ["x", "d"]).withColumn("d2", F.round("d2", 6))
 
 
 EMB = "SELECT vec_id AS row_id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS z FROM embeddings"
@@ -203,11 +199,11 @@ def knn_radius(spark, d):
     return joins.match_within(e.where("row_id % 2 = 0"), e.where("row_id % 2 = 1"), ["x", "y", "z"], 0.08).withColumn("d2", F.round("d2", 9))
 
 
-@query(f"{M}, b AS (SELECT row_id, id, panel, x AS x0, x + 2 + panel AS x1, z AS z0, z + 3 AS z1 FROM m WHERE panel <= 3) SELECT a.row_id AS i, b.row_id AS j FROM b a JOIN b ON a.id = b.id AND a.panel = b.panel AND a.row_id < b.row_id AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.z0 < b.z1 AND b.z0 < a.z1")
+@query(f"{M}, b AS (SELECT row_id, id, panel, x AS x0, x + 2 + panel AS x1, z AS z0, z + 3 AS z1 FROM m) SELECT a.row_id AS i, b.row_id AS j FROM b a JOIN b ON a.id = b.id AND a.panel = b.panel AND a.row_id < b.row_id AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.z0 < b.z1 AND b.z0 < a.z1")
 def overlap_join(spark, d):
-    m = measurements(spark, d).where("panel <= 3")
+    m = measurements(spark, d)
     boxes = m.select("row_id", "id", "panel", F.col("x").alias("x0"), (F.col("x") + 2 + F.col("panel")).alias("x1"), F.col("z").alias("z0"), (F.col("z") + 3).alias("z1"))
-    return joins.overlaps(boxes, ["id", "panel"], [("z0", "z1"), ("x0", "x1")], 30)
+    return joins.overlaps(boxes, ["id", "panel"], [("z0", "z1"), ("x0", "x1")])
 
 
 @query(f"{M}, t AS (SELECT key, avg(intensity) AS target FROM m WHERE id = 0 GROUP BY key) SELECT row_id, round(target, 3) AS target FROM m JOIN t USING (key) WHERE id = 1 AND target <> 0")
@@ -347,7 +343,7 @@ def leave_one_out_round1(spark, d):
 
 @query()
 def iterative_outliers(spark, d):
-    graph._dir(measurements(spark, d))
+    graph.checkpoint_dir(measurements(spark, d))
     m = measurements(spark, d).select("row_id", "key", "intensity", "variance", "scale")
     return outliers.iterative_outliers(m, ["key"], F.col("intensity"), F.col("scale"), 1 / F.col("variance"), 8000.0)
 
@@ -464,7 +460,7 @@ def column_summary(spark, d):
 @query(f"{M}, g AS (SELECT id, d, row_number() OVER (PARTITION BY id ORDER BY d) AS r, count(*) OVER (PARTITION BY id) AS n FROM m) SELECT id, count(*) AS n, round(max(greatest(r / n - (d - 1) / 5.1, (d - 1) / 5.1 - (r - 1) / n)), 9) AS d FROM g GROUP BY id")
 def ks_distance(spark, d):
     m = measurements(spark, d).select("id", F.col("d").alias("v"))
-    return reports.kolmogorov_smirnov(m, ["id"], (F.col("v") - 1) / 5.1, "v").withColumn("d", F.round("d", 9))
+    return reports.kolmogorov_smirnov(m, ["id"], (F.col("v") - 1) / 5.1, "v").select("id", "n", F.round("d", 9).alias("d"))
 
 
 # formulas
@@ -507,11 +503,12 @@ def shoebox_statistics(spark, d):
     return e.select("vec_id", shoebox.count_mask(F.col("mask"), code).alias("n_foreground"), F.round(shoebox.masked_sum(F.col("data"), F.col("mask"), code), 6).alias("total"), at["x"].cast("int").alias("x"), at["y"].alias("y"))
 
 
-@query("WITH RECURSIVE n AS (SELECT o_orderkey AS node FROM orders WHERE o_orderkey < 1500), e AS (SELECT a.node AS i, b.node AS j FROM n a JOIN n b ON a.node < b.node AND a.node % 97 = b.node % 89 AND (a.node + b.node) % 7 = 0), u AS (SELECT i, j FROM e UNION ALL SELECT j, i FROM e), r AS (SELECT node, node AS reach FROM n UNION SELECT r.node, u.j FROM r JOIN u ON r.reach = u.i) SELECT node, min(reach) AS label FROM r GROUP BY node")
+@query("WITH o AS (SELECT o_orderkey AS node, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS prev, o_custkey AS c FROM orders), s AS (SELECT *, sum(CASE WHEN prev IS NULL OR (node + prev) % 3 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY c ORDER BY node ROWS UNBOUNDED PRECEDING) AS run FROM o) SELECT node, min(node) OVER (PARTITION BY c, run) AS label FROM s")
 def connected_components(spark, d):
-    n = read(spark, d, "orders").select(F.col("o_orderkey").alias("node")).where("node < 1500")
-    a, b = n.select(F.col("node").alias("i"), (F.col("node") % 97).alias("c")), n.select(F.col("node").alias("j"), (F.col("node") % 89).alias("c"))
-    return graph.components(n, a.join(b, "c").where("i < j AND (i + j) % 7 = 0").select("i", "j"))
+    o = read(spark, d, "orders").select(F.col("o_orderkey").alias("node"), "o_custkey")
+    prev = F.lag("node").over(Window.partitionBy("o_custkey").orderBy("node"))
+    edges = o.select(F.col("node").alias("i"), prev.alias("j")).where("j IS NOT NULL AND (i + j) % 3 <> 0")
+    return graph.components(o.select("node"), edges)
 
 
 # streams
@@ -530,9 +527,9 @@ def event_sessions(spark, d):
 # sinks
 
 
-@query(f"{M} SELECT printf('%4d%4d%4d%8.2f%8.2f%4d', h, k, l, intensity, sqrt(variance), panel) AS value FROM m WHERE id = 2")
+@query(f"{M} SELECT printf('%4d%4d%4d%8.2f%8.2f%4d', h, k, l, intensity, sqrt(variance), panel) AS value FROM m")
 def shelx_lines(spark, d):
-    m = measurements(spark, d).where("id = 2")
+    m = measurements(spark, d)
     rows = m.select("h", "k", "l", F.col("intensity").alias("value"), F.sqrt("variance").alias("sigma"), F.col("panel").alias("batch"))
     return formats.lines(rows, "shelx", ["h", "k", "l"])
 
