@@ -11,8 +11,8 @@ sets of similarity 0.8 share about 0.8 K of them. Collisions are counted by pref
 Candidates of T collisions or more are confirmed on the full sets. Documents with equal sets are one class throughout.
 
 No list is expanded into all its pairs at first: a round links each member with one pivot per list, the next with a
-few pivots of those lists that still hold several components. Lists longer than LONG after that, as of pages of one
-template, are dealt anew by the rarest shingles of their members, again by prefix: two sets as alike as asked share one
+few pivots of those lists that still hold several components. Lists of more than LONG members beside their main
+component after that, as of pages of one template, are dealt anew by the rarest shingles of their members, again by prefix: two sets as alike as asked share one
 of them, while members that share the template alone meet nowhere. What is left is compared whole, in blocks of bounded
 size: one pass names the members that have candidates there, the next holds their full sets and returns links alone. So
 every pair of T collisions is confirmed, refuted or inside one component.
@@ -37,7 +37,8 @@ from .shingles import full_sets, signed
 K, T, FINE = 32, 16, 96
 #: Least share of equal bytes among the FINE.
 FINE_SHARE = 0.62
-#: Signatures of a block in the last round, pivot classes of the second, and members of a list that is dealt anew.
+#: Signatures of a block in the last round, pivot classes of the second, and members beside the main component of a
+#: list that is dealt anew.
 BLOCK, PIVOTS, LONG = 256, 4, 1024
 
 
@@ -53,6 +54,20 @@ def _signed(batches, n: int):
         yield pa.RecordBatch.from_arrays([*b.columns[:3], coarse, fine, b.column(4)], names=["doc_id", "n_shingles", "set_key", "sig", "fine", "text_key"])
 
 
+def _wanted(batches):
+    """The first text of each key that a row without text, sorted before it, asks for."""
+    asked = None
+    for b in batches:
+        out = []
+        for k, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            if not t.is_valid:
+                asked = k
+            elif k == asked:
+                out.append(t.as_py())
+                asked = None
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["text"])
+
+
 def _alike(frames):
     """The pairs (a, b) whose signatures agree often enough."""
     for f in frames:
@@ -186,16 +201,16 @@ class Finder:
         return shared.where(F.size("shared") >= T).select("node", F.explode(prefix).alias("p")).select(F.col("p.token").alias("token"), "node")
 
     def full_sets(self) -> DataFrame:
-        """(node, shingles) of the posted classes, from one text of each."""
+        """(node, shingles) of the posted classes, from one text of each: wanted keys and texts meet in one sorted stream."""
         n = self.n
-        key = ["unnamed", "doc_id", "text_key"]
-        wanted = self.posted.select("at.*").withColumn("doc_id", F.coalesce("doc_id", F.lit(0)))
+        key = ["unnamed", "doc_id", "text_key", "salt"]
         # a text without doc_id may have any number of rows: they are dealt over some places
         salts = F.when(F.col("unnamed"), F.sequence(F.lit(0), F.lit(15))).otherwise(F.array(F.lit(0)))
-        wanted = wanted.withColumn("salt", F.explode(salts))
-        rows = self.rows.withColumns({"unnamed": F.col("doc_id").isNull(), "doc_id": F.coalesce("doc_id", F.lit(0))})
-        rows = rows.withColumn("salt", F.when(F.col("unnamed"), F.pmod(F.spark_partition_id(), F.lit(16))).otherwise(0))
-        texts = rows.join(wanted, [*key, "salt"], "left_semi").select("text")
+        wanted = self.posted.select("at.*").distinct().withColumn("salt", F.explode(salts))
+        rows = self.rows.withColumns({"unnamed": F.col("doc_id").isNull(), "salt": F.when(F.col("doc_id").isNull(), F.pmod(F.spark_partition_id(), F.lit(16))).otherwise(0)})
+        both = wanted.withColumn("text", F.lit(None).cast("binary")).unionByName(rows.select(*key, "text"))
+        met = both.repartition(*key).sortWithinPartitions(*key, F.col("text").isNotNull())
+        texts = met.select(F.xxhash64(*key).alias("k"), "text").mapInArrow(_wanted, "text binary")
         found = texts.mapInArrow(lambda it: full_sets(it, n), "set_key binary, shingles array<long>")
         return found.join(self.posted.select("node", "set_key"), "set_key").select("node", "shingles").dropDuplicates(["node"])
 
@@ -224,9 +239,10 @@ class Finder:
         return met.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
 
     def several(self, met: DataFrame) -> DataFrame:
-        """(token, node, label, size) of the lists of a written table that hold several components."""
-        some = met.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
-        return met.join(self.keep.write(some.select("token", "size")), "token")
+        """(token, node, label, main, most, size) of the lists of a written table that hold several components; main is the one of most members."""
+        counts = met.groupBy("token", "label").agg(F.count("*").alias("c"))
+        some = counts.groupBy("token").agg(F.max_by("label", "c").alias("main"), F.max("c").alias("most"), F.sum("c").alias("size"), F.count("*").alias("labels"))
+        return met.join(self.keep.write(some.where("labels > 1").drop("labels")), "token")
 
     def by_shingle(self, lists: DataFrame) -> DataFrame:
         """Lists by shingle in place of long ones: each member under the rarest shingles of its set, as many as leave too few others.
@@ -246,14 +262,18 @@ class Finder:
     def in_blocks(self, lists: DataFrame) -> DataFrame:
         """Links (a, b) between different components that join all which any link joins, from whole lists in blocks.
 
-        ``lists`` has (coordinate, token, node, label, size). Work goes with the pairs compared, not with the bytes, so
-        the number of tasks is fixed and not left to their size.
+        ``lists`` has (coordinate, token, node, label, main, most, size). Members of the main component aren't compared
+        with each other, so a list of one large component and a few others is a row per member and block of the others.
+        Work goes with the pairs compared, not with the bytes, so the number of tasks is fixed and not left to their size.
         """
         signs = ("sig", "fine", "n", "mask")
         met = lists.join(self.posted.select("node", *signs), "node")
-        blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-        met = met.withColumns({"blocks": blocks, "own": F.pmod(F.xxhash64("node"), blocks).cast("int")})
-        met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        rest, main = (F.ceil(c / BLOCK).cast("int") for c in (F.col("size") - F.col("most"), F.col("most")))
+        met = met.withColumns({"rest": rest, "blocks": rest + main, "is_main": F.col("label") == F.col("main")})
+        number = F.xxhash64("node")
+        own = F.when(F.col("is_main"), F.col("rest") + F.pmod(number, F.col("blocks") - F.col("rest"))).otherwise(F.pmod(number, F.col("rest")))
+        last = F.when(F.col("is_main"), F.col("rest")).otherwise(F.col("blocks")) - 1
+        met = met.withColumns({"own": own.cast("int"), "other": F.explode(F.sequence(F.lit(0), last))})
         side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
         met = met.withColumns({"bi": F.least("own", "other"), "bj": F.greatest("own", "other"), "side": side})
         spark, percent = lists.sparkSession, self.percent
@@ -284,8 +304,9 @@ class Finder:
                 links = keep.write(self.confirmed(pairs))
                 keep.drop(pairs)
             else:
-                short = lists.where(F.col("size") <= LONG).withColumn("coordinate", F.shiftright("token", 32).cast("int"))
-                anew = self.by_shingle(lists.where(F.col("size") > LONG)).withColumn("coordinate", F.lit(-1))
+                others = F.col("size") - F.col("most")
+                short = lists.where(others <= LONG).withColumn("coordinate", F.shiftright("token", 32).cast("int"))
+                anew = self.by_shingle(lists.where(others > LONG)).withColumn("coordinate", F.lit(-1))
                 links = keep.write(self.in_blocks(short.unionByName(anew)))
             after = contract(labels, links, keep)
             keep.drop(met, lists, links)
