@@ -16,6 +16,7 @@ document. What goes to every task is bounded by the benchmark: its vocabulary, a
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, text_or_empty
+from .common import Scratch, salted_join, text_or_empty, unique_name
 
 #: Words of a passage, words from one passage to the next, and words that a check looks at before and behind one.
 WINDOW, STRIDE, MARGIN = 64, 32, 16
@@ -307,29 +308,11 @@ def _found(batches, kind, weight, basis, vectors, items, cosine: float, share: f
             )
 
 
-def find_leaks(
-    docs: DataFrame,
-    benchmark: DataFrame,
-    *,
-    doc_id: str = "doc_id",
-    text: str = "text",
-    item_id: str = "item_id",
-    item_text: str = "text",
-    cosine: float = 0.4,
-    share: float = 0.6,
-    answer: float = 0.5,
-) -> DataFrame:
-    """doc_id, item_id, lcs_share, answer_share, cosine, start_word: the best passage of each document for each item it leaks.
-
-    Items longer than WINDOW words are searched for in passages of up to WINDOW words; an item counts as leaked if one
-    of them is. Items of no words (null, empty, signs alone) are never found, nor are rows of a null item_id; items of
-    equal words are found alike. A null or empty document leaks nothing; repeated documents leak alike; of null doc_id
-    the rows are found with a null. An empty table on either side gives no row. Other columns are not read.
-    """
-    spark = docs.sparkSession
+def _leaks_of_block(rows: DataFrame, items: DataFrame, cosine: float, share: float, answer: float) -> DataFrame:
+    """``find_leaks`` of one block of items (i, t) in documents (doc_id, text)."""
+    spark = rows.sparkSession
     keep = Scratch(spark, "decontam")
     schema = "doc_id long, item_id long, lcs_share double, answer_share double, cosine double, start_word long"
-    items = benchmark.where(F.col(item_id).isNotNull()).select(F.col(item_id).cast("long").alias("i"), text_or_empty(item_text).alias("t"))
     listed = sorted({(r.i, tuple(w for w in words_of(r.t) if w)) for r in items.toLocalIterator()})
     listed = [x for x in listed if x[1]]
     if not listed:
@@ -339,7 +322,6 @@ def find_leaks(
     kind = np.uint16 if len(vocabulary) < 1 << 16 else np.uint32
     send = spark.sparkContext.broadcast
     sent_vocabulary = send(vocabulary)
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_or_empty(text).alias("text"))
     numbered = keep.write(rows.mapInArrow(lambda it: _numbered(it, sent_vocabulary), "doc_id long, words binary"))
     n_docs = numbered.count()
     seen = numbered.select("words").mapInPandas(lambda it: _documents_with(it, kind, size), "term int, n long")
@@ -391,7 +373,44 @@ def find_leaks(
     return out
 
 
-def drop_leaking(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", **options) -> DataFrame:
-    """The rows of docs without the documents that leak an item; rows with a null doc_id can't be named and stay."""
-    leaks = find_leaks(docs, benchmark, doc_id=doc_id, **options).select(F.col("doc_id").alias("leaking")).distinct()
-    return docs.join(leaks, docs[doc_id].cast("long") == leaks["leaking"], "left_anti")
+def find_leaks(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    *,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    item_id: str = "item_id",
+    item_text: str = "text",
+    cosine: float = 0.4,
+    share: float = 0.6,
+    answer: float = 0.5,
+    block_items: int = 50_000,
+) -> DataFrame:
+    """doc_id, item_id, lcs_share, answer_share, cosine, start_word: the best passage of each document for each item it leaks.
+
+    Items longer than WINDOW words are searched for in passages of up to WINDOW words; an item counts as leaked if one
+    of them is. Items of no words (null, empty, signs alone) are never found, nor are rows of a null item_id; items of
+    equal words are found alike. A null or empty document leaks nothing; repeated documents leak alike; of null doc_id
+    the rows are found with a null. An empty table on either side gives no row. Other columns are not read.
+
+    The benchmark is searched for in blocks of about ``block_items`` items, each with a vocabulary and a space of its
+    own, so what the driver and each task hold is bounded by a block; a block is three passes over the documents'
+    words. The blocks change the column cosine only: every passage that passes the checks is a candidate in any space.
+    """
+    items = benchmark.where(F.col(item_id).isNotNull()).select(F.col(item_id).cast("long").alias("i"), text_or_empty(item_text).alias("t")).distinct()
+    blocks = max(1, -(-items.count() // block_items))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_or_empty(text).alias("text"))
+    found = [_leaks_of_block(rows, items.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == k), cosine, share, answer) for k in range(blocks)]
+    return reduce(DataFrame.unionByName, found)
+
+
+def drop_leaking(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", **options) -> DataFrame:
+    """The rows of docs whose text leaks no item, with all their columns, whatever their names.
+
+    A row is told by its text, so null and repeated doc_ids need no rule: equal texts go or stay together. Null and empty
+    texts stay; an empty table gives no row; an empty benchmark drops none.
+    """
+    key = unique_name("leak_key", docs.columns)
+    marked = docs.withColumn(key, F.xxhash64(text_or_empty(text)))
+    leaks = find_leaks(marked.select(F.col(key), F.col(text)), benchmark, doc_id=key, text=text, **options).select(F.col("doc_id").alias(key)).distinct()
+    return salted_join(marked, leaks, [key], F.spark_partition_id(), "left_anti").select(docs.columns)

@@ -163,7 +163,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample: int = 4000, dims: int = 6
     in_docs = np.zeros(TERMS)
     for terms, _ in sparse:
         in_docs[terms] += 1
-    idf = (np.log((1 + len(y)) / (1 + in_docs)) + 1.0).astype(np.float32)
+    idf = np.log((1 + len(y)) / (1 + in_docs)).astype(np.float32)  # 0 for what every document has
     unit = []
     for terms, values in sparse:
         weighted = values * idf[terms]

@@ -222,7 +222,7 @@ def test_leaks(spark):
     want |= {(d, 53) for d, i in want if i == 5} | {(None, 0)}
     assert got == want
     left = decontam.drop_leaking(docs, bench)
-    assert left.columns == docs.columns and {r.doc_id for r in left.collect()} == {i for i, _ in rows} - {d for d, _ in want if d is not None}
+    assert left.columns == docs.columns and {r.doc_id for r in left.collect()} == {i for i, _ in rows} - {d for d, _ in want}
     assert decontam.find_leaks(docs.limit(0), bench).count() == decontam.find_leaks(docs, bench.limit(0)).count() == 0
 
 
@@ -243,6 +243,50 @@ def test_leaks_of_a_large_benchmark(spark):
     assert min(r.cosine for r in got.values()) < 0.4
 
 
+def test_leaks_equal_all_pairs(spark):
+    """Search against the checks of every passage with every item, in blocks of items and without."""
+    rng = random.Random(21)
+    few = [f"v{k}" for k in range(60)]
+    items = [(i, " ".join(rng.choice(few) if rng.random() < 0.7 else f"rare{i}x{rng.randint(0, 9)}" for _ in range(rng.choice([4, 9, 25, 70, 140])))) for i in range(40)]
+    rows = []
+    for i in range(60):
+        w = [rng.choice([*few, "none"]) for _ in range(rng.randint(0, 300))]
+        for _ in range(rng.randint(0, 2)):
+            part = [x if rng.random() > 0.25 else "none" for x in rng.choice(items)[1].split()]
+            at = rng.randint(0, len(w))
+            w[at:at] = part
+        rows.append((i, " ".join(w)))
+    vocabulary = {w for _, t in items for w in decontam.words_of(t)}
+    want = set()
+    for i, text in items:
+        w = decontam.words_of(text)
+        n = -(-len(w) // decontam.WINDOW)
+        for part in (w[len(w) * k // n : len(w) * (k + 1) // n] for k in range(n)):
+            telling = sorted(set(part), key=lambda x: (-len(x), sorted(vocabulary).index(x)))
+            told = set(telling[: -(-len(telling) // 4)])
+            for d, t in rows:
+                words_ = [x if x in vocabulary else None for x in decontam.words_of(t)]
+                chunks = max(1, -(-len(words_) // decontam.STRIDE))
+                for start in range(0, max(1, chunks - 1) * decontam.STRIDE, decontam.STRIDE):
+                    seen = words_[max(0, start - decontam.MARGIN) : start + decontam.WINDOW + decontam.MARGIN]
+                    if len(told & set(seen)) / len(told) >= 0.5 and decontam.lcs_length(part, [x for x in seen if x]) / len(part) >= 0.6:
+                        want.add((d, i))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = frame(spark, rows)
+    assert {(r.doc_id, r.item_id) for r in decontam.find_leaks(docs, bench).collect()} == want and len(want) > 20
+    assert {(r.doc_id, r.item_id) for r in decontam.find_leaks(docs, bench, block_items=15).collect()} == want
+
+
+def test_space_equals_numpy():
+    rng = np.random.default_rng(1)
+    a = rng.standard_normal((200, 12)) @ rng.standard_normal((12, 40))
+    omega = rng.standard_normal((40, 30))
+    v = decontam.nystrom(a.T @ a @ omega, omega, 12)
+    _, _, want = np.linalg.svd(a, full_matrices=False)
+    assert v.shape == (40, 12) and np.allclose(v @ v.T, want[:12].T @ want[:12], atol=1e-4)
+    assert not decontam.nystrom(np.zeros((40, 30)), omega, 12).any()
+
+
 def test_lcs():
     rng = random.Random(0)
     for _ in range(200):
@@ -424,3 +468,25 @@ def test_pipeline_stages(spark, tmp_path):
     assert ids["packing"] == ids["decontamination"]
     again = {tuple(r) for r in corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "start", "length", F.crc32("ids")).collect()}
     assert again == {tuple(r) for r in after["packing"].select("doc_id", "start", "length", F.crc32("ids")).collect()}
+
+
+def test_pipeline_stages_take_odd_rows(spark, tmp_path):
+    """Nulls, empty texts, repeated rows, clashing column names and an empty table, through every stage."""
+    text = " ".join(words(random.Random(1), 60))
+    schema = "doc_id long, text string, lang string, source string, n_chars long, leak_key int, kept_doc_id string, score double, pii_row long"
+    rows = [(1, text), (1, text), (None, text + " x"), (None, None), (2, ""), (2, None), (3, " ".join(words(random.Random(2), 30)) + " mail a.b@c.de"), (4, "y " * 30_000)]
+    docs = spark.createDataFrame([(i, t, None, None, None, 1, "x", 0.5, 7) for i, t in rows], schema)
+    spark.createDataFrame([(1, 1, 0), (None, 0, 0), (2, None, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(0, None), (None, "z"), (1, "one two three four five six seven")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    now, empty = docs, docs.limit(0)
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, now, str(tmp_path))
+        out.write.parquet(f"{tmp_path}/out{k}")
+        now = spark.read.parquet(f"{tmp_path}/out{k}")
+        assert stage(spark, empty, str(tmp_path)).count() == 0
+        if name != "packing":
+            assert now.columns == docs.columns
+            got = sorted(str(r.doc_id) for r in now.collect())
+            assert got == (sorted(str(i) for i, _ in rows) if name == "quality" else ["1", "2", "3", "4", "None"])
+    assert now.where("length <= 0").count() == 0 and {r.doc_id for r in now.collect()} >= {1, 3, 4}
