@@ -69,3 +69,8 @@ def error_model(variance: Column, intensity: Column, a: float, b: float) -> Colu
 def normalised_deviation(intensity: Column, scale: Column, mean: Column, sigma: Column, n: Column) -> Column:
     """sqrt((n - 1) / n) (I / g - mean) / sigma."""
     return F.sqrt((n - 1) / n) * (intensity / scale - mean) / sigma
+
+
+def debye_waller(b: float, d: Column) -> Column:
+    """exp(B / (2 d squared)): the scale of a relative B factor."""
+    return F.exp(b / (2 * d * d))
