@@ -5,8 +5,9 @@ component makes the scores large, so after each step the values still unread are
 gives each candidate a lower and an upper bound; candidates whose upper bound lies under the k-th lower bound are out,
 and once few are left their scores are resolved. Bounds of all queries of a block come from matrix products.
 
-On dense vectors that point everywhere no bound tells before the lists are nearly read; so at each step some queries go
-first, and if none of them has few candidates left the others read on without bounds. Where lists end all scores are known.
+On dense vectors that point everywhere no bound tells before most of the lists are read: of 64 dimensions about 0.85. So
+at each step some queries go first, and if none of them has few candidates left the others read on without bounds. Where
+lists end all scores are known.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a.astype(float) @ b.T.astype(float) if most < 2**53 else a @ b.T
 
 
-def nra(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int, steps=(0.25, 0.5, 1.0)):
+def nra(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int, steps=(0.5, 0.85, 0.9, 1.0)):
     """(query number, row number, score) of at least each query's k best rows, its own id left out, and the share of its lists that each query read."""
     n = len(rows)
     order = np.sort(rows, axis=0)
