@@ -91,7 +91,7 @@ def r_split(halves: DataFrame) -> DataFrame:
 
 
 def cc_half(table: DataFrame, key: list[str], bin_: str, value: str) -> DataFrame:
-    """bin, n, cc_half of the groups of two rows or more: (s - e) / (s + e), s the sample variance of group means, e the mean variance of a mean times two."""
+    """bin, n, cc_half of the groups of two rows or more: (s - e) / (s + e), s the sample variance of group means, e the mean variance of a mean."""
     means = table.groupBy(bin_, *key).agg(F.avg(value).alias("_m"), F.var_samp(value).alias("_v"), F.count("*").alias("_n")).where("_n > 1")
     out = means.groupBy(bin_).agg(F.count("*").alias("n"), F.var_samp("_m").alias("s"), (F.avg(F.col("_v") / F.col("_n"))).alias("e"))
     return out.select(bin_, "n", ((F.col("s") - F.col("e")) / (F.col("s") + F.col("e"))).alias("cc_half"))

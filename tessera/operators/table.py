@@ -169,3 +169,78 @@ def tolerance_groups(values: DataFrame, value: str, tolerance: float) -> DataFra
     sizes = told.groupBy("_run").agg((F.max("_in") + 1).alias("_n"))
     earlier = sizes.select("_run", (F.sum("_n").over(Window.orderBy("_run")) - F.col("_n")).alias("_earlier"))
     return told.join(earlier, "_run").select(value, (F.col("_earlier") + F.col("_in")).cast("int").alias("grp"))
+
+
+# columns and rows one by one
+
+
+def has_column(table: DataFrame, name: str) -> bool:
+    return name in table.columns
+
+
+def without_columns(table: DataFrame, names: list[str]) -> DataFrame:
+    """table without these columns; KeyError for one that it lacks."""
+    return require(table, names).drop(*names)
+
+
+def set_selected_columns(table: DataFrame, other: DataFrame, names: list[str], row_id: str) -> DataFrame:
+    """table with some columns taken from another of the same rows."""
+    new = require(other, names).select(row_id, *names)
+    return table.drop(*names).join(new, row_id).select(*table.columns, *(n for n in names if n not in table.columns))
+
+
+def set_selected_rows(table: DataFrame, other: DataFrame, row_id: str) -> DataFrame:
+    """table with the rows of another in place of those of the same number, in the columns that both have."""
+    shared = [c for c in table.columns if c in other.columns and c != row_id]
+    new = other.select(row_id, F.lit(True).alias("_new"), *(F.col(c).alias(f"_{c}") for c in shared))
+    met = table.join(new, row_id, "left")
+    return met.select(*(F.when(F.col("_new"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) if c in shared else F.col(c) for c in table.columns))
+
+
+def get_row(table: DataFrame, row_id: str, number: int) -> dict:
+    """A row as a dictionary; IndexError if there is none."""
+    found = table.where(F.col(row_id) == number).first()
+    if found is None:
+        raise IndexError(number)
+    return found.asDict(recursive=True)
+
+
+def set_row(table: DataFrame, row_id: str, number: int, values: dict) -> DataFrame:
+    """table with new values in some columns of a row."""
+    here = F.col(row_id) == number
+    return table.withColumns({c: F.when(here, F.lit(v).cast(dict(table.dtypes)[c])).otherwise(F.col(c)) for c, v in values.items() if c in require(table, list(values)).columns})
+
+
+def delete_row(table: DataFrame, row_id: str, number: int) -> DataFrame:
+    return table.where(F.col(row_id) != number)
+
+
+def insert_rows(table: DataFrame, rows: DataFrame, row_id: str, at: int) -> DataFrame:
+    """table with rows, numbered from 0, before row ``at``; later rows move on, and columns that rows lack get the zero of their type."""
+    n = rows.count()
+    later = F.when(F.col(row_id) >= at, F.col(row_id) + n).otherwise(F.col(row_id))
+    kind = dict(table.dtypes)[row_id]
+    return append_defaults(table.withColumn(row_id, later.cast(kind)), rows.withColumn(row_id, (F.col(row_id) + at).cast(kind)))
+
+
+def delete_slice(table: DataFrame, row_id: str, start: int, stop: int, step: int = 1) -> DataFrame:
+    """table without every step-th row of half-open [start, stop)."""
+    at = F.col(row_id)
+    return table.where(~((at >= start) & (at < stop) & ((at - start) % step == 0)))
+
+
+def reordered(table: DataFrame, permutation: DataFrame, row_id: str) -> DataFrame:
+    """table with rows renumbered: row ``pos`` is the old row of that number in (pos, row)."""
+    met = table.join(permutation.select("pos", F.col("row").alias(row_id)), row_id)
+    return met.withColumn(row_id, F.col("pos")).drop("pos").select(table.columns)
+
+
+def records(table: DataFrame, row_id: str):
+    """The rows as dictionaries in order, a partition at a time."""
+    for r in table.orderBy(row_id).toLocalIterator():
+        yield r.asDict(recursive=True)
+
+
+def help_text(schema) -> str:
+    """Name and type of each column, one a line."""
+    return "\n".join(f"{f.name}: {f.dataType.simpleString()}" for f in schema.fields)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import scalar, shoebox
-from tessera.operators import residuals, spots
+from tessera.operators import graph, joins, outliers, reports, residuals, scaling, spots, table
 from tessera.plans.more import E, integrated
 from tessera.plans.queries import M, measurements, query, read
 
@@ -349,3 +349,84 @@ def binned_mixtures(spark, d):
 def brightest_rejected(spark, d):
     rows = measurements(spark, d).select("z", "row_id", "intensity")
     return residuals.reject_brightest(rows, "z", "intensity", "row_id", 0.1)
+
+
+# rows and columns one by one, and small filters
+
+
+@query(f"{M}, o AS (SELECT row_id, d * 2 AS d, 7 AS panel FROM m WHERE key % 3 = 0) SELECT m.row_id, coalesce(o.panel, m.panel) AS panel, coalesce(o.d, m.d) AS d, m.x FROM m LEFT JOIN o USING (row_id)")
+def set_selected_rows(spark, d):
+    m = measurements(spark, d).select("row_id", "panel", "d", "x", "key")
+    other = m.where("key % 3 = 0").select("row_id", (F.col("d") * 2).alias("d"), F.lit(7).alias("panel"))
+    return table.set_selected_rows(m.drop("key"), other, "row_id")
+
+
+@query("SELECT o_orderkey AS row_id, o_totalprice * 2 AS a, o_custkey AS c, o_orderkey + o_custkey AS s FROM orders")
+def set_selected_columns(spark, d):
+    o = read(spark, d, "orders").select(F.col("o_orderkey").alias("row_id"), F.col("o_totalprice").alias("a"), F.col("o_custkey").alias("c"))
+    other = o.select("row_id", (F.col("a") * 2).alias("a"), (F.col("row_id") + F.col("c")).alias("s"))
+    return table.set_selected_columns(o, other, ["a", "s"], "row_id")
+
+
+@query("WITH o AS (SELECT o_orderkey AS row_id, o_totalprice AS a FROM orders), i AS (SELECT CASE WHEN row_id >= 100 THEN row_id + 3 ELSE row_id END AS row_id, a FROM o UNION ALL SELECT 100 + range, 0 FROM range(3)) SELECT row_id, CASE WHEN row_id = 7 THEN 1.5 ELSE a END AS a FROM i WHERE row_id <> 9 AND NOT (row_id >= 20 AND row_id < 40 AND (row_id - 20) % 4 = 0)")
+def row_edits(spark, d):
+    o = read(spark, d, "orders").select(F.col("o_orderkey").alias("row_id"), F.col("o_totalprice").alias("a"))
+    out = table.insert_rows(o, spark.range(3).withColumnRenamed("id", "row_id"), "row_id", 100)
+    return table.delete_slice(table.delete_row(table.set_row(out, "row_id", 7, {"a": 1.5}), "row_id", 9), "row_id", 20, 40, 4)
+
+
+@query("WITH o AS (SELECT o_orderkey AS row_id, o_totalprice AS a FROM orders) SELECT row_id * 7 % 1000003 AS row_id, a FROM o")
+def reorder_rows(spark, d):
+    o = read(spark, d, "orders").select(F.col("o_orderkey").alias("row_id"), F.col("o_totalprice").alias("a"))
+    return table.reordered(o, o.select((F.col("row_id") * 7 % 1000003).alias("pos"), F.col("row_id").alias("row")), "row_id")
+
+
+@query(f"{M}, b AS (SELECT panel, avg(intensity) AS mean FROM m GROUP BY panel) SELECT row_id FROM m JOIN b USING (panel) WHERE intensity / mean * 10 > CASE WHEN key % 2 = 0 THEN 23.91 ELSE 13.82 END")
+def wilson_cut(spark, d):
+    rows = reports.normalised_squares(measurements(spark, d).select("row_id", "panel", "key", "intensity"), "panel", "intensity")
+    return rows.where(outliers.wilson_cut(F.col("e_squared") * 10, F.col("key") % 2 == 0)).select("row_id")
+
+
+@query(f"{M}, g AS (SELECT (h, k, l) >= (-h, -k, -l) AS p, greatest((h, k, l), (-h, -k, -l)) AS q, intensity FROM m), f AS (SELECT avg(intensity) FILTER (p) AS plus, avg(intensity) FILTER (NOT p) AS minus FROM g GROUP BY q) SELECT count(*) AS n, round(avg(abs(plus - minus)) / 50, 6) AS dano_over_sigma FROM f WHERE plus IS NOT NULL AND minus IS NOT NULL")
+def anomalous_signal(spark, d):
+    pairs = joins.mates(measurements(spark, d), ["h", "k", "l"], "intensity")
+    return reports.anomalous_signal(pairs, 50.0).withColumn("dano_over_sigma", F.round("dano_over_sigma", 6))
+
+
+@query(f"{M} SELECT row_id FROM m WHERE NOT (z BETWEEN 100 AND 2000 AND (z - 100) % 25 = 0)")
+def exclude_every_nth(spark, d):
+    images = reports.expanded_multiples(100, 2000, 25, spark).withColumnRenamed("image", "z")
+    return measurements(spark, d).select("row_id", "z").join(F.broadcast(images), "z", "left_anti").select("row_id")  # of one scan
+
+
+@query(f"{M} SELECT row_id, CAST(range_id AS INT) AS block FROM (SELECT row_id, z, unnest(range(7)) AS range_id FROM m) WHERE z >= 50 + 2000 * range_id // 7 AND z < 50 + 2000 * (range_id + 1) // 7")
+def scan_blocks(spark, d):
+    blocks = [(k, a, b) for k, (a, b) in enumerate(reports.block_ranges(50, 2050, 7))]
+    m = measurements(spark, d).select("row_id", "z")
+    met = m.join(F.broadcast(spark.createDataFrame(blocks, "block int, lo int, hi int")), (F.col("z") >= F.col("lo")) & (F.col("z") < F.col("hi")))  # a row per block
+    return met.select("row_id", "block")
+
+
+@query(f"{M}, g AS (SELECT key, count(*) AS n, sum(1 / variance) AS w, sum(intensity / variance) AS x, sum(intensity * intensity / variance) AS xx FROM m GROUP BY key) SELECT key, round(x / w, 3) AS merged, round(CASE WHEN n > 1 THEN greatest(1 / w, (xx / w - x / w * (x / w)) / (n - 1)) ELSE 1 / w END, 1) AS merged_var, n FROM g")
+def merge_internal_variance(spark, d):
+    out = scaling.merged(measurements(spark, d), ["key"], "intensity", "variance", internal=True)
+    return out.withColumns({"merged": F.round("merged", 3), "merged_var": F.round("merged_var", 1)})
+
+
+@query()
+def scale_datasets(spark, d):
+    m = measurements(spark, d)
+    graph.checkpoint_dir(m)
+    return scaling.scale_datasets(m, ["key"], "id", "intensity", "variance", rounds=4)
+
+
+@query()
+def error_model_fit(spark, d):
+    a, b = scaling.fit_error_model(scaling.error_deviations(measurements(spark, d), ["key"], "intensity", "variance"))
+    return spark.createDataFrame([(a, b)], "a double, b double")
+
+
+@query()
+def posterior_moments(spark, d):
+    rows = measurements(spark, d).select("row_id", "panel", (F.col("intensity") - 3000).alias("v"), (F.col("variance") * 1000).alias("s"))
+    return scaling.posterior_moments(rows, "panel", "v", "s").select("row_id", "intensity", "amplitude")
