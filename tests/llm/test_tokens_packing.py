@@ -100,3 +100,29 @@ def test_checksum_column(spark):
     p = packing.pack(spark.createDataFrame([(1, "hello there")], "doc_id long, text string"), path("word_bpe_49k.json"))
     r = p.select("ids", F.crc32("ids").alias("c")).first()
     assert r.c == zlib.crc32(bytes(r.ids))
+
+
+def test_pack_odd_rows(spark):
+    """Null ids, repeated rows and texts of many windows, at the capacity in use."""
+    file = path("word_bpe_49k.json")
+    t = Tokenizer.from_file(file)
+    rng = random.Random(2)
+    long = " ".join(rng.choice(["alpha", "beta,", "Gamma!", "x1", "naïve"]) for _ in range(30_000))
+    data = [(None, "no id", None, None), (None, "no id", None, None), (1, long, None, 1), (1, long, None, 1), (2, None, None, None), (3, "", None, None)]
+    pieces = packing.pack(spark.createDataFrame(data, SCHEMA), file).collect()
+    size = len(t.encode(long, add_special_tokens=False).ids) + 1
+    assert size > 5 * 4096
+    by = {}
+    for p in pieces:
+        by.setdefault(p.doc_id, []).append(p)
+    assert [sum(p.length for p in by[k]) for k in (None, 1, 2, 3)] == [2 * (len(t.encode("no id", add_special_tokens=False).ids) + 1), 2 * size, 1, 1]
+    ids = [*t.encode(long, add_special_tokens=False).ids, 2]
+    covered = np.zeros(size, int)
+    for p in by[1]:
+        assert bytes(p.ids) == np.array(ids[p.start : p.start + p.length], "<u4").tobytes() and p.doc_tokens == size
+        covered[p.start : p.start + p.length] += 1
+    assert (covered == 2).all()
+    fill = {}
+    for p in pieces:
+        fill[p.sequence_id] = fill.get(p.sequence_id, 0) + p.length
+    assert max(fill.values()) <= 4096
