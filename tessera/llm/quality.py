@@ -25,8 +25,10 @@ WORDS, PAIRS, SHAPES = 1 << 13, 1 << 13, 1 << 11
 TERMS = WORDS + PAIRS + SHAPES
 #: Weights of the three kinds of terms.
 WEIGHTS = (1.0, 0.5, 2.0)
+#: Documents scored at a time: what is held is so many rows of cosines to the sample.
+ROWS = 256
 #: Memoised words per Python worker, after which the memo starts afresh.
-MEMO_WORDS = 1_000_000
+MEMO_WORDS = 200_000
 
 _LETTERS, _DIGITS, _SAME = re.compile(r"[^\W\d_]+"), re.compile(r"\d+"), re.compile(r"(.)\1+")
 _EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "¡¿«»“”‘’…–—"
@@ -176,8 +178,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample: int = 4000, dims: int = 6
 
 def _scored(batches, model):
     for whole in batches:
-        for at in range(0, whole.num_rows, 1024):
-            b = whole.slice(at, 1024)
+        for at in range(0, whole.num_rows, ROWS):
+            b = whole.slice(at, ROWS)
             terms = [terms_of(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.value.score(terms))], names=["doc_id", "score"])
 
@@ -191,8 +193,8 @@ def score(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str =
 
 def _kept(batches, model, at: int, least: float):
     for whole in batches:
-        for first in range(0, whole.num_rows, 1024):
-            b = whole.slice(first, 1024)
+        for first in range(0, whole.num_rows, ROWS):
+            b = whole.slice(first, ROWS)
             terms = [terms_of(t or "") for t in b.column(at).to_pylist()]
             yield b.filter(pa.array(model.value.score(terms) >= least))
 
