@@ -145,7 +145,7 @@ def weighted_correlation(halves: DataFrame, by: list[str] | None = None, floor:
         (F.sum("_w") * F.sum("_w") / F.sum(F.col("_w") * F.col("_w"))).alias("n_eff"),
     )
     some = (F.col("_n") > 1) & (F.col("_aa") > 0) & (F.col("_bb") > 0)
-    return out.select(*by, F.when(some, F.col("_ab") / F.sqrt(F.col("_aa") * F.col("_bb"))).alias("cc"), F.when(some, F.col("n_eff")).otherwise(1.0).alias("n_eff"))
+    return out.select(*by, F.when(some, F.col("_ab") / F.sqrt(F.col("_aa") * F.col("_bb"))).alias("cc"), F.when(some, F.col("n_eff")).when(F.col("_n") == 0, 0.0).otherwise(1.0).alias("n_eff"))
 
 
 def weighted_r_split(halves: DataFrame) -> DataFrame:

@@ -302,7 +302,7 @@ MATES = (
 )
 
 
-@query(f"{MATES}, w AS (SELECT a, b, 1 / (va + vb) AS w FROM p), t AS (SELECT sum(w * a) / sum(w) AS ma, sum(w * b) / sum(w) AS mb FROM w) SELECT round(sum(w * (a - ma) * (b - mb)) / sqrt(sum(w * (a - ma) * (a - ma)) * sum(w * (b - mb) * (b - mb))), 6) AS cc, round(sum(w) * sum(w) / sum(w * w), 3) AS n_eff FROM w, t")
+@query(f"{MATES}, w AS (SELECT a, b, 1 / (va + vb) AS w FROM p), t AS (SELECT sum(w * a) / sum(w) AS ma, sum(w * b) / sum(w) AS mb FROM w) SELECT CASE WHEN count(*) > 1 THEN round(sum(w * (a - ma) * (b - mb)) / sqrt(sum(w * (a - ma) * (a - ma)) * sum(w * (b - mb) * (b - mb))), 6) END AS cc, CASE WHEN count(*) > 1 THEN round(sum(w) * sum(w) / sum(w * w), 3) ELSE CAST(count(*) AS DOUBLE) END AS n_eff FROM w, t")
 def anomalous_cc_half(spark, d):
     h = statistics.halves_by_hash(measurements(spark, d), ["h", "k", "l"], "intensity", "variance", ["row_id"], seed=1)
     out = statistics.weighted_correlation(statistics.anomalous_halves(h, ["h", "k", "l"]))
