@@ -92,5 +92,6 @@ def text_or_empty(col: str):
 def salted_join(rows: DataFrame, few: DataFrame, on: list[str], by: Column, how: str = "inner", salts: int = 16) -> DataFrame:
     """rows joined with few, whose keys are distinct: each of few's rows goes to so many places, and the rows of a frequent key are dealt over them by ``by``."""
     salt = unique_name("salt", [*rows.columns, *few.columns])
-    copies = few.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    # the planner doesn't see that these are ``salts`` times as many rows, and would broadcast them by the size of few
+    copies = few.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).hint("merge")
     return rows.withColumn(salt, F.pmod(F.xxhash64(by), F.lit(salts)).cast("int")).join(copies, [*on, salt], how).drop(salt)

@@ -210,8 +210,8 @@ class Finder:
         rows = self.rows.withColumns({"unnamed": F.col("doc_id").isNull(), "salt": F.when(F.col("doc_id").isNull(), F.pmod(F.spark_partition_id(), F.lit(16))).otherwise(0)})
         both = wanted.withColumn("text", F.lit(None).cast("binary")).unionByName(rows.select(*key, "text"))
         met = both.repartition(*key).sortWithinPartitions(*key, F.col("text").isNotNull())
-        texts = met.select(F.xxhash64(*key).alias("k"), "text").mapInArrow(_wanted, "text binary")
-        found = texts.mapInArrow(lambda it: full_sets(it, n), "set_key binary, shingles array<long>")
+        keyed = met.select(F.xxhash64(*key).alias("k"), "text")
+        found = keyed.mapInArrow(lambda it: full_sets(_wanted(it), n), "set_key binary, shingles array<long>")
         return found.join(self.posted.select("node", "set_key"), "set_key").select("node", "shingles").dropDuplicates(["node"])
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
