@@ -71,6 +71,23 @@ def test_quantiles_and_ranks(spark, monkeypatch):
     assert ranks.quantiles(df.limit(0), ["k"], "v", [0.5], ["m"]).count() == 0
 
 
+def test_spearman_of_many_rows_and_odd_ones(spark):
+    """A group of over 2.1 million rows (their number's cube is no long), a group of one, null keys and values."""
+    n, c = 2_100_000, 42_000
+    many = spark.range(n).selectExpr("1 AS k", "CAST(id % 50 AS DOUBLE) AS a", "CAST(49 - id % 50 AS INT) AS b")
+    (r,) = outliers.spearman(many, ["k"], "a", "b").collect()
+    assert r.n == n and r.rho == pytest.approx(1 - 6 * c**3 * sum((2 * v - 49) ** 2 for v in range(50)) / (n**3 - n), rel=1e-9)
+    rng = random.Random(6)
+    rows = [(rng.choice([1, 2, None]), rng.choice([None, 1.5, 2.0, rng.gauss(0, 9)]), rng.choice([None, 1, 2, 3, rng.randint(0, 99)])) for _ in range(300)] + [(9, 1.0, 1)]
+    rank = lambda v, of: sum(w < v for w in of) + (of.count(v) + 1) / 2
+    got = {r.k: (r.n, r.rho) for r in outliers.spearman(spark.createDataFrame(rows, "k int, a double, b int"), ["k"], "a", "b").collect()}
+    assert set(got) == {1, 2, 9, None} and got[9][0] == 1 and math.isnan(got[9][1])
+    for k in (1, 2, None):
+        a, b = ([math.inf if r[at] is None else r[at] for r in rows if r[0] == k] for at in (1, 2))
+        d2 = sum((rank(v, a) - rank(w, b)) ** 2 for v, w in zip(a, b, strict=True))
+        assert got[k][0] == len(a) and got[k][1] == pytest.approx(1 - 6 * d2 / (len(a) ** 3 - len(a)))
+
+
 def test_tolerance_groups(spark):
     rng = random.Random(3)
     values = [round(rng.uniform(0, 900), 2) for _ in range(600)] + [2000.0, 2000.0, 5000.0]
